@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodevec.llm import langid, packing, simhash, toxicity
+from lodevec.llm import ann, langid, packing, quality, simhash, tokenbin, toxicity, urlfilter
 
 
 def queries() -> dict[str, Callable]:
@@ -12,7 +12,11 @@ def queries() -> dict[str, Callable]:
 
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
+        "op2_token_binary": tokenbin.op2_token_binary,
+        "op3_nearest_neighbours": ann.op3_nearest_neighbours,
+        "op4_url_filter": urlfilter.op4_url_filter,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+        "op6_quality_rules": quality.op6_quality_rules,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": langid.op9_language_id,
         "pipeline": corpus_pipeline.run,
@@ -22,4 +26,5 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    sql = {"op4_url_filter": urlfilter.OP4_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: text for name, text in sql.items() if text}
