@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lodevec.llm import ann, langid, packing, quality, simhash, tokenbin, toxicity, urlfilter
+from lodevec.llm import ann, langid, lattice, packing, quality, simhash, tokenbin, toxicity, urlfilter, warc
 
 
 def queries() -> dict[str, Callable]:
@@ -17,8 +17,10 @@ def queries() -> dict[str, Callable]:
         "op4_url_filter": urlfilter.op4_url_filter,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_warc_revisits": warc.op7_warc_revisits,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": langid.op9_language_id,
+        "op10_sentencepiece": lattice.op10_sentencepiece,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -26,5 +28,5 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    sql = {"op4_url_filter": urlfilter.OP4_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op4_url_filter": urlfilter.OP4_SQL, "op7_warc_revisits": warc.OP7_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text}

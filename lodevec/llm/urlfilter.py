@@ -110,7 +110,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     both = materialise(both.select(h1.alias("h1"), h2.alias("h2"), "listed").groupBy("h1", "h2").agg(F.max("listed").alias("listed")), "url-keys")
     segments = max(1, -(-both.count() // SEGMENT_KEYS))
 
-    def segment(key, rows: pa.Table) -> pa.Table:
+    def segment(key, rows):
         h = tuple(rows.column(c).to_numpy().view(np.uint64) for c in ("h1", "h2"))
         on = rows.column("listed").to_numpy() == 1
         levels = build(tuple(x[on] for x in h), tuple(x[~on] for x in h))
@@ -121,6 +121,22 @@ def build_cascade(listed: DataFrame, universe: DataFrame) -> Cascade:
     return Cascade(table, segments, table.agg(F.coalesce(F.sum(F.length("bits")), F.lit(0))).first()[0])
 
 
+def _asker(parts: dict[int, list[Level]], segments: int):
+    """Whether keys, given by their hashes, are in a cascade, as a function of columns."""
+
+    @F.arrow_udf("boolean")
+    def listed(h1: pa.Array, h2: pa.Array) -> pa.Array:
+        a, b = h1.to_numpy(zero_copy_only=False), h2.to_numpy(zero_copy_only=False).view(np.uint64)
+        out, place = np.zeros(len(a), bool), a % segments
+        for s in np.unique(place):
+            if s in parts:
+                own = np.flatnonzero(place == s)
+                out[own] = ask(parts[s], a[own].view(np.uint64), b[own])
+        return pa.array(out)
+
+    return listed
+
+
 def mark(rows: DataFrame, keys: dict[str, tuple[Column, Cascade]]) -> DataFrame:
     """``rows`` with a boolean column for each entry: whether its key is in its cascade. A null key isn't.
 
@@ -134,20 +150,8 @@ def mark(rows: DataFrame, keys: dict[str, tuple[Column, Cascade]]) -> DataFrame:
         found = cascade.table.toArrow()
         at = np.array(found.column("segment").to_pylist(), np.int64)
         parts = {int(s): _levels(found.filter(pa.array(at == s))) for s in np.unique(at)}
-        segments = cascade.segments
-
-        def listed(h1: pa.Array, h2: pa.Array, parts=parts, segments=segments) -> pa.Array:
-            a, b = h1.to_numpy(zero_copy_only=False), h2.to_numpy(zero_copy_only=False).view(np.uint64)
-            out, place = np.zeros(len(a), bool), a % segments
-            for s in np.unique(place):
-                if s in parts:
-                    own = np.flatnonzero(place == s)
-                    out[own] = ask(parts[s], a[own].view(np.uint64), b[own])
-            return pa.array(out)
-
-        listed.__annotations__ = {"h1": pa.Array, "h2": pa.Array, "return": pa.Array}
         h1, h2 = hashes(key)
-        rows = rows.withColumn(name, key.isNotNull() & F.arrow_udf(listed, "boolean")(h1, h2))
+        rows = rows.withColumn(name, key.isNotNull() & _asker(parts, cascade.segments)(h1, h2))
     return rows
 
 
@@ -155,7 +159,7 @@ def _mark_by_segment(rows: DataFrame, name: str, key: Column, cascade: Cascade)
     h1, h2 = hashes(key)
     keys = rows.select(h1.alias("h1"), h2.alias("h2")).distinct().withColumn("segment", F.pmod("h1", F.lit(cascade.segments)))
 
-    def segment(own: pa.Table, levels: pa.Table) -> pa.Table:
+    def segment(own, levels):
         a, b = (own.column(c).to_numpy() for c in ("h1", "h2"))
         on = ask(_levels(levels), a.view(np.uint64), b.view(np.uint64))
         return pa.table({"__h1": a[on], "__h2": b[on]})
