@@ -187,7 +187,7 @@ def knn(vectors: DataFrame, k: int = NEIGHBOURS, dimensions: int = DIMENSIONS, c
     first = materialise(first, "own-cell")
     sent = first.select("id", "v", "y", "home", "bound", F.explode("visits").alias("cell"))
     meet = sent.groupBy("home", "cell").count().select("home", "cell")
-    points = rows.join(meet, "cell").select("id", "v", "y", "home", "cell")
+    points = rows.join(meet, "cell").select("id", "v", "y", F.col("home").alias("asker"), F.col("cell").alias("asked"))
 
     def away(queries: pa.Table, cell_rows: pa.Table) -> pa.Table:
         if not len(queries) or not len(cell_rows):
@@ -199,7 +199,7 @@ def knn(vectors: DataFrame, k: int = NEIGHBOURS, dimensions: int = DIMENSIONS, c
         found[dist > bound[:, None] * (1 + 1e-9)] = -1
         return _pairs(q_id, p_id, found, q, p)
 
-    others = sent.groupBy("home", "cell").cogroup(points.groupBy("home", "cell")).applyInArrow(away, "query_id bigint, neighbour_id bigint, distance double")
+    others = sent.groupBy("home", "cell").cogroup(points.groupBy("asker", "asked")).applyInArrow(away, "query_id bigint, neighbour_id bigint, distance double")
     own = first.select(F.col("id").alias("query_id"), F.inline("hits"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
     return own.unionByName(others).withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "neighbour_id", "rank", "distance")
