@@ -42,10 +42,14 @@ def quantize_uint8(v: Column | str) -> Column:
     return F.transform(wide(v), lambda x: F.when(F.isnan(x), 0).otherwise(_half_up(_clamp(x, 0.0, 1.0) * 255)).cast("smallint"))
 
 
-@F.arrow_udf("binary")
-def quantize_binary(v: pa.Array) -> pa.Array:
+def quantize_binary(v: Column | str) -> Column:
     """A bit for each dimension, 1 where it's above 0, in whole bytes with the first bit highest."""
-    return pa.array([None if x is None else np.packbits(np.array(x, float) > 0).tobytes() for x in v.to_pylist()], pa.binary())
+
+    @F.arrow_udf("binary")
+    def bits(rows: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else np.packbits(np.array(x, float) > 0).tobytes() for x in rows.to_pylist()], pa.binary())
+
+    return bits(_col(v))
 
 
 def half(values: np.ndarray) -> np.ndarray:
@@ -59,14 +63,17 @@ def half(values: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32).view(np.float32)
 
 
-@F.arrow_udf("array<float>")
-def quantize_fp16(v: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else half(np.array(x, np.float32)) for x in v.to_pylist()], pa.list_(pa.float32()))
+def quantize_fp16(v: Column | str) -> Column:
+    @F.arrow_udf("array<float>")
+    def halves(rows: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else half(np.array(x, np.float32)) for x in rows.to_pylist()], pa.list_(pa.float32()))
+
+    return halves(_col(v))
 
 
 def quantize(v: Column | str, kind: str) -> Column:
     quantization_info(kind)
-    return {"int8": quantize_int8, "uint8": quantize_uint8, "binary": lambda c: quantize_binary(_col(c)), "fp16": lambda c: quantize_fp16(_col(c))}[kind](v)
+    return {"int8": quantize_int8, "uint8": quantize_uint8, "binary": quantize_binary, "fp16": quantize_fp16}[kind](v)
 
 
 def dequantize(codes: Column | str, kind: str, dimensions: int | None = None) -> Column:

@@ -89,7 +89,8 @@ class Leader:
                 return best
         if n == len(self.centroids):
             grown = np.zeros((max(8, 2 * n), len(v)), np.float32)
-            grown[:n] = self.centroids[:n]
+            if n:
+                grown[:n] = self.centroids[:n]
             self.centroids = grown
         self.centroids[n] = v
         self.sizes.append(1)

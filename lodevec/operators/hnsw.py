@@ -105,7 +105,8 @@ class HnswIndex:
         node, self.dim = len(self.ids), len(q)
         if node >= len(self._v):
             grown = np.zeros((max(64, 2 * node), self.dim))
-            grown[:node] = self._v[:node]
+            if node:
+                grown[:node] = self._v[:node]
             self._v, self._norm = grown, np.append(self._norm, np.zeros(len(grown) - len(self._norm)))
         self._v[node], self._norm[node] = q, np.sqrt(q @ q)
         level = floor(-log(self._draw() or 2**-32) / log(self.m))

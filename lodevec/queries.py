@@ -201,7 +201,7 @@ def similar_pairs(spark, sf):
 
 
 @_query("dedup_greedy", f"""WITH RECURSIVE {_EDGES}, ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
-earlier AS (SELECT ids.vec_id, ids.n, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS near FROM ids LEFT JOIN edges e ON e.b = ids.vec_id GROUP BY ALL),
+earlier AS MATERIALIZED (SELECT ids.vec_id, ids.n, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS near FROM ids LEFT JOIN edges e ON e.b = ids.vec_id GROUP BY ALL),
 walk AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS kept UNION ALL SELECT w.n + 1, CASE WHEN list_has_any(w.kept, e.near) THEN w.kept ELSE list_append(w.kept, e.vec_id) END FROM walk w JOIN earlier e ON e.n = w.n + 1)
 SELECT unnest(kept) AS vec_id FROM walk WHERE n = (SELECT max(n) FROM ids)""")
 def dedup_greedy(spark, sf):

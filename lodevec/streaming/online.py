@@ -51,7 +51,7 @@ def averages(spark: SparkSession, path: str, schema: T.StructType, by: list[str]
 
 def event_windows(spark: SparkSession, path: str, schema: T.StructType, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(event_type, window_start, n, total) of all events read as a stream, with a watermark that bounds the state."""
-    events = file_stream(spark, path, schema).withWatermark("ts", late)
+    events = file_stream(spark, path, schema).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     out = events.groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return _finished(spark, out.select("event_type", F.col("window.start").alias("window_start"), "n", "total"), "complete")
 
