@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 1024
 
 
-def packed(df: DataFrame, key: str, vector: str, prefix: str, rows: int = BLOCK_ROWS) -> DataFrame:
+def packed(df: DataFrame, key: str, vector: str, prefix: str, rows: int | None = None) -> DataFrame:
     """(<prefix>ids, <prefix>flat) blocks of the rows with a key and a vector; null keys and vectors are left out."""
     good = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    blocks = max(1, -(-good.count() // rows))
+    blocks = max(1, -(-good.count() // (rows or BLOCK_ROWS)))
     whole = good.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
     return whole.select(F.col("rows.id").alias(f"{prefix}ids"), F.flatten("rows.v").alias(f"{prefix}flat"))
 

@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,7 +21,7 @@ def four(spark):
 
 def random_table(spark, n, dim, seed=0):
     v = np.random.default_rng(seed).uniform(-1, 1, (n, dim)).astype(np.float32)
-    return v, spark.createDataFrame(pd.DataFrame({"vec_id": range(n), "embedding": list(v)}))
+    return v, spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
 
 
 def test_top_k_and_filters(four):
