@@ -246,19 +246,19 @@ def duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = TARGET_REC
 def drop_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents without those that ``duplicates`` finds, with all their columns: one of each group stays.
 
-    Of rows that share a key and have words, one stays. The keys to drop are broadcast only if they
+    Of rows that share a key, one stays. The keys to drop are broadcast only if they
     are few by count; beyond that the join is a shuffled one.
     """
     drop = materialise(duplicates(docs, radius, text=text, key=key).select(F.col("doc_id").alias("__drop")), "dropped")
     few = drop.count() * 16 <= BROADCAST_BYTES
-    kept = docs.join(F.broadcast(drop) if few else drop, F.col(key) == F.col("__drop"), "left_anti")
+    kept = docs.join(F.broadcast(drop) if few else drop, docs[key] == drop["__drop"], "left_anti")
     again = materialise(docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__again")).count().where("count > 1").select("__again"), "repeated-keys")
     repeats = again.count()
     if not repeats:
         return kept
-    again = F.broadcast(again) if repeats * 16 <= BROADCAST_BYTES else again
-    once = kept.join(again, F.col(key) == F.col("__again"), "left_semi").dropDuplicates([key])
-    return kept.join(again, F.col(key) == F.col("__again"), "left_anti").unionByName(once)
+    side = F.broadcast(again) if repeats * 16 <= BROADCAST_BYTES else again
+    once = kept.join(side, kept[key] == again["__again"], "left_semi").dropDuplicates([key])
+    return kept.join(side, kept[key] == again["__again"], "left_anti").unionByName(once)
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
