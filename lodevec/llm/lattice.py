@@ -27,15 +27,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from lodevec.llm.pieces import MODEL
-from lodevec.llm.textbytes import Hasher, buffers, runs
+from lodevec.llm.pieces import MODEL, slices
+from lodevec.llm.textbytes import RUN_BYTES, Hasher, buffers
 from lodevec.runtime import materialise, read_table
 
 #: Words of more characters don't fit the fold's bit mask and are encoded by the library, exactly too.
 MASK_CHARS = 61
 #: A dictionary of words of at most so many bytes travels to the workers; a larger one is joined by a shuffle.
 DICTIONARY_BYTES = 192 << 20
-_SEEN_BITS = 18
+#: Distinct words of a task of the lattice, about.
+TASK_WORDS = 40_000
+_SEEN_BITS = 20
 _NONE = -9e18
 
 
@@ -142,6 +144,13 @@ def spaced(texts: pa.Array) -> pa.Array:
     return pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar("", pa.large_string()), out)
 
 
+def _spaced_runs(texts: pa.Array, run_bytes: int = RUN_BYTES):
+    """(first, last, bytes, offsets) of runs of whole texts with their spaces; a run at a time is copied."""
+    for i, j in slices(texts, run_bytes):
+        data, offsets = buffers(spaced(texts.slice(i, j - i)))
+        yield i, j, data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def _take_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     size = end - start
     stop = np.cumsum(size)
@@ -157,7 +166,7 @@ def distinct_words(docs: DataFrame, model: str = MODEL, text: str = "text") -> D
         cuts = table(model).cuts
         seen = np.zeros(1 << _SEEN_BITS, np.uint64)
         for b in batches:
-            for _, _, data, offsets in runs(spaced(b.column(0))):
+            for _, _, data, offsets in _spaced_runs(b.column(0)):
                 start, end, _ = word_spans(data, offsets, cuts)
                 h, first = np.unique(Hasher(data)(start, end, 11), return_index=True)
                 place = (h & np.uint64(len(seen) - 1)).astype(np.int64)
@@ -286,7 +295,8 @@ def dictionary(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataF
     if not t.bpe:
         raise ValueError("whole texts are encoded with BPE models; use viterbi for a unigram model's words")
     words = materialise(distinct_words(docs, model, text), "words")
-    words = words.repartition("h", "word")
+    # a word becomes dozens of rows, so its tasks are cut by words rather than by bytes
+    words = words.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-words.count() // TASK_WORDS)), "h", "word")
     short, long_ = F.char_length("word") <= MASK_CHARS, F.char_length("word") > MASK_CHARS
     folded = fold_merges(edges(words.where(short), t.frame(docs.sparkSession), t.longest))
 
@@ -374,7 +384,7 @@ def _by_broadcast(rows: DataFrame, words: pa.Table, model: str, kind: str) -> Da
         turn = _decoder(model)
         h, first, size, flat = sent.value
         for b in batches:
-            for i, j, data, offsets in runs(spaced(b.column(1)), 1 << 20):
+            for i, j, data, offsets in _spaced_runs(b.column(1)):
                 start, end, owner = word_spans(data, offsets, t.cuts)
                 own, back = np.unique(Hasher(data)(start, end, 11), return_inverse=True)
                 at = np.searchsorted(h, own)
@@ -394,7 +404,7 @@ def _by_shuffle(rows: DataFrame, words: DataFrame, model: str, kind: str) -> Dat
     def cut(batches):
         cuts = table(model).cuts
         for b in batches:
-            for i, j, data, offsets in runs(spaced(b.column(1))):
+            for i, j, data, offsets in _spaced_runs(b.column(1)):
                 start, end, owner = word_spans(data, offsets, cuts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(owner)), pa.array(start - offsets[owner]), pa.array(Hasher(data)(start, end, 11).view(np.int64)), _take_spans(data, start, end)], names=["row", "at", "h", "word"])
 
