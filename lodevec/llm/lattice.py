@@ -363,21 +363,35 @@ def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", key: str =
     return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, decoded string")
 
 
-def _by_broadcast(rows: DataFrame, words: pa.Table, model: str, kind: str) -> DataFrame | None:
-    """The rows' ids by a dictionary that travels to the workers; None if two words share a hash."""
-    h = words.column("h").to_numpy()
+def _packed(words: DataFrame) -> tuple[np.ndarray, ...] | None:
+    """(hashes in order, first id, number of ids, ids) of a dictionary; None if two words share a hash.
+
+    The workers pack it, so that 8 bytes a word, 2 for its length and 2 an id come to the driver.
+    """
+
+    def pack(batches):
+        for b in batches:
+            counts = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            columns = (b.column(0).to_numpy().view(np.uint64), counts.astype(np.uint32), b.column(1).flatten().to_numpy().astype(np.uint16))
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in columns], names=["h", "n", "flat"])
+
+    found = words.select("h", "ids").mapInArrow(pack, "h binary, n binary, flat binary").toArrow()
+    h, n, flat = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in found.column(c))]) for c, kind in (("h", np.uint64), ("n", np.uint32), ("flat", np.uint16)))
+    del found
     order = np.argsort(h)
     h = h[order]
     if (h[1:] == h[:-1]).any():
         return None
-    column = words.column("ids").combine_chunks()
-    counts = pc.list_value_length(column).to_numpy().astype(np.int64)
-    first = (np.cumsum(counts) - counts)[order]
-    size = counts[order]
-    flat = column.flatten().to_numpy().astype(np.uint16 if len(table(model).all) <= 1 << 16 else np.int32)
-    # the workers look hashes up as unsigned numbers
-    unsigned = np.argsort(h.view(np.uint64))
-    sent = rows.sparkSession.sparkContext.broadcast((h.view(np.uint64)[unsigned], first[unsigned].astype(np.uint32), size[unsigned].astype(np.uint32), flat))
+    first = np.cumsum(n, dtype=np.uint32) - n
+    return h, first[order], n[order], flat
+
+
+def _by_broadcast(rows: DataFrame, words: DataFrame, model: str, kind: str) -> DataFrame | None:
+    """The rows' ids by a dictionary that travels to the workers; None if it can't."""
+    if len(table(model).all) > 1 << 16 or (packed := _packed(words)) is None:
+        return None
+    sent = rows.sparkSession.sparkContext.broadcast(packed)
+    del packed
 
     def gather(batches):
         t = table(model)
@@ -435,7 +449,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", key: str = "
     kind = rows.schema["doc_id"].dataType.simpleString()
     words = dictionary(rows, model)
     size = words.agg(F.coalesce(F.sum(F.lit(16) + F.size("ids") * 2), F.lit(0))).first()[0]
-    out = _by_broadcast(rows, words.select("h", "ids").toArrow(), model, kind) if size <= dictionary_bytes else None
+    out = _by_broadcast(rows, words, model, kind) if size <= dictionary_bytes else None
     return _by_shuffle(rows, words, model, kind) if out is None else out
 
 
