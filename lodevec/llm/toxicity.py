@@ -2,8 +2,8 @@
 
 Only confirmed toxic examples and unlabelled text are used. The risk is that of Kiryo et al. (2017):
 ``prior * R_P(+1) + max(0, R_U(-1) - prior * R_P(-1))``, with a gradient step on the negative part
-alone where it falls below zero. A text's features are its words and the 5-byte n-grams within them,
-hashed; all of them count, however long the text is.
+alone where it falls below zero. A text's features are its words, their beginnings and the 5-byte
+n-grams within them, hashed; all of them count, however long the text is.
 """
 
 from __future__ import annotations
@@ -21,15 +21,19 @@ from lodevec.runtime import read_table
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 GRAM = 5
+#: Bytes of the beginnings of words that are features, for languages that build words from parts.
+BEGINNINGS = (6, 8)
 #: Bounds of the sample the classifier is fitted on: confirmed toxic and unlabelled documents.
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
 SEED = 42
+#: Standard errors by which a feature's shares must differ to be used.
+SIGNIFICANT = 5.0
 #: Weights under this share of the largest become 0, and their features needn't be counted.
 PRUNE = 0.01
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, text number) of every word and n-gram of a run, and the number of words of each text."""
+    """(bucket, text number) of every word, beginning and n-gram of a run, and the number of words of each text."""
     start, end, owner = spans(data, offsets)
     n = len(offsets) - 1
     words = np.bincount(owner, minlength=n)
@@ -42,7 +46,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     last = np.cumsum(grams)
     at = np.repeat(start - (last - grams), grams) + np.arange(last[-1])
     inner = (h(at, at + GRAM, 2) >> shift).astype(np.int64)
-    return np.concatenate([whole, inner]), np.concatenate([owner, np.repeat(owner, grams)]), words
+    buckets, owners = [whole, inner], [owner, np.repeat(owner, grams)]
+    for n in BEGINNINGS:
+        long_ = np.flatnonzero(end - start > n)
+        buckets.append((h(start[long_], start[long_] + n, 3) >> shift).astype(np.int64))
+        owners.append(owner[long_])
+    return np.concatenate(buckets), np.concatenate(owners), words
 
 
 @dataclass
@@ -65,25 +74,38 @@ class ToxicModel:
         return out
 
 
-def nnpu(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float, epochs: int = 25, batches: int = 12, rate: float = 0.02, decay: float = 1e-4) -> ToxicModel:
+def nnpu(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float, epochs: int = 100, batches: int = 4, rate: float = 0.05, decay: float = 1e-4) -> ToxicModel:
     """Fits weights by Adam on the non-negative risk with the logistic loss. Rows are (buckets, values).
 
-    A feature is scaled by the logarithm of how much commoner it is among the positives than in the
-    unlabelled rows, which leaves the many features without bearing next to nothing.
+    Features whose shares of positive and unlabelled rows differ by fewer than ``SIGNIFICANT`` standard
+    errors are left out: with a million features, any that occurs in few positives would be fitted by
+    chance. The others are scaled by the logarithm of the ratio of the shares.
     """
     rng = np.random.default_rng(SEED)
     rows = positive + unlabelled
     sizes = np.array([len(b) for b, _ in rows])
     at = np.concatenate([[0], np.cumsum(sizes)])
-    used, col = np.unique(np.concatenate([b for b, _ in rows]), return_inverse=True)
+    flat = np.concatenate([b for b, _ in rows])
+    used = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))
+    column = np.zeros(BUCKETS, np.int32)
+    column[used] = np.arange(len(used), dtype=np.int32)
+    col = column[flat]  # kept in 32 bits, as the values are: the sample is most of the driver's memory
+    del flat
     cut = at[len(positive)]
-    ratio = np.log((np.bincount(col[:cut], minlength=len(used)) + 1) / (len(positive) + 1)) - np.log((np.bincount(col[cut:], minlength=len(used)) + 1) / (len(unlabelled) + 1))
-    ratio = np.sign(ratio) * ratio**2
-    val = np.concatenate([v for _, v in rows]) * ratio[col]
+    n_p, n_u = len(positive), len(unlabelled)
+    in_p, in_u = np.bincount(col[:cut], minlength=len(used)), np.bincount(col[cut:], minlength=len(used))
+    share = (in_p + in_u) / len(rows)
+    error = np.sqrt(np.maximum(share * (1 - share), 1 / len(rows) ** 2) * (1 / n_p + 1 / n_u))
+    ratio = np.log((in_p + 1) / (n_p + 1)) - np.log((in_u + 1) / (n_u + 1))
+    ratio[np.abs(in_p / n_p - in_u / n_u) < SIGNIFICANT * error] = 0
+    telling = ratio[col] != 0
+    col, val = col[telling], np.concatenate([v for _, v in rows])[telling] * ratio[col[telling]]
+    before = np.concatenate([[0], np.cumsum(telling)])
+    sizes, at = before[at[1:]] - before[at[:-1]], before[at]
     w = np.zeros(len(used) + 1)  # the last is the bias
     m, v = np.zeros_like(w), np.zeros_like(w)
-    step = 0
-    for _ in range(epochs):
+    step, mean, kept = 0, np.zeros_like(w), 0
+    for epoch in range(epochs):
         parts = zip(np.array_split(rng.permutation(len(positive)), batches), np.array_split(len(positive) + rng.permutation(len(unlabelled)), batches))
         for p, u in parts:
             if not len(p) or not len(u):
@@ -107,6 +129,10 @@ def nnpu(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[n
             step += 1
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
             w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            if epoch >= epochs // 2:  # the mean of the later steps is steadier than the last one
+                mean += w
+                kept += 1
+    w = mean / max(kept, 1)
     weights = np.zeros(BUCKETS)
     weights[used] = w[:-1] * ratio
     weights[np.abs(weights) < PRUNE * np.abs(weights).max()] = 0
