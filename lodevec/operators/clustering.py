@@ -6,6 +6,7 @@ vectors of one clustering. For larger tables give ``by``, columns that part it i
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -209,35 +210,93 @@ def distances(v: np.ndarray, metric: str) -> np.ndarray:
     return d
 
 
-def spanning_tree(reach: np.ndarray) -> np.ndarray:
-    """(from, to, weight) rows of Prim's tree from node 0, ties to the last node, sorted by weight."""
-    n = len(reach)
-    open_, weight, source = np.ones(n, bool), reach[0].copy(), np.zeros(n, np.int64)
-    open_[0] = False
-    out = []
-    for _ in range(n - 1):
-        w = np.where(open_, weight, np.inf)
-        node = n - 1 - int(w[::-1].argmin())
-        out.append((source[node], node, weight[node]))
-        open_[node] = False
-        closer = open_ & (reach[node] < weight)
-        weight[closer], source[closer] = reach[node][closer], node
+def _distances_from(x: np.ndarray, v: np.ndarray, nodes: np.ndarray, metric: str, rows: int = 512) -> np.ndarray:
+    """Distances of one vector to the named rows of v; a pair's value depends neither on its order nor on the other rows."""
+    if len(nodes) > rows:  # temporary arrays that fit the cache
+        return np.concatenate([_distances_from(x, v, nodes[i : i + rows], metric) for i in range(0, len(nodes), rows)])
+    v = v[nodes]
+    if metric == "euclidean":
+        apart = v - x
+        return np.sqrt(np.einsum("ij,ij->i", apart, apart))
+    if metric == "manhattan":
+        return np.abs(v - x).sum(1)
+    product = np.einsum("ij,ij->i", v, np.broadcast_to(x, v.shape))
+    if metric == "dot":
+        return 1 - product
+    norms = np.sqrt(np.einsum("ij,ij->i", v, v)) * np.sqrt(np.einsum("ij,ij->i", x[None], x[None]))
+    return 1 - np.divide(product, norms, out=np.zeros_like(product), where=norms != 0)
+
+
+def _core(v: np.ndarray, k: int, metric: str, rows: int = 128) -> np.ndarray:
+    """Each row's distance to its k-th nearest other row, in memory of ``rows`` * n.
+
+    Matrix products find the candidates, with a margin for their rounding; their distances are taken anew.
+    """
+    n = len(v)
+    out = np.zeros(n)
+    for i in range(0, n, rows):
+        part = v[i : i + rows]
+        s = scores(part, v, metric)
+        s[np.arange(len(part)), np.arange(i, i + len(part))] = -np.inf
+        low = np.partition(s, n - k, axis=1)[:, n - k]
+        if metric == "euclidean":  # the margin holds for the squares, which the products are taken from
+            far = 1 / np.maximum(low, 1e-300) - 1
+            margin = 1e-12 * (1 + (part * part).sum(1) + (v * v).sum(1).max())
+            low = 1 / (1 + np.sqrt(far * far + margin)) - 1e-12
+        else:
+            low = low - 1e-12 * (1 + np.abs(low) + (np.sqrt((part * part).sum(1) * (v * v).sum(1).max()) if metric == "dot" else 0))
+        for j in range(len(part)):
+            d = _distances_from(part[j], v, np.flatnonzero(s[j] >= low[j]), metric)
+            out[i + j] = np.partition(d, k - 1)[k - 1]
+    return out
+
+
+def _prim(core: np.ndarray, distances_to: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """(from, to, weight) rows of Prim's tree from node 0, ties to the last node, sorted by weight.
+
+    A weight is the distance, or a core distance of its ends if that is greater. ``distances_to(node, nodes)``
+    is only asked for nodes that the new node could still bring nearer; no row of distances is kept.
+    """
+    n = len(core)
+    weight, source, open_ = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
+    node, out = 0, []
+    nodes, at, own = np.arange(n), 0, core
+    for left in range(n - 1, 0, -1):
+        open_[at], weight[at] = False, np.inf
+        if left < 0.9 * len(nodes):
+            nodes, weight, source, own = nodes[open_], weight[open_], source[open_], own[open_]
+            open_ = np.ones(left, bool)
+        least = np.maximum(own, core[node])
+        near = np.flatnonzero(open_ & (weight > least))
+        new = np.maximum(least[near], distances_to(node, nodes[near]))
+        closer = new < weight[near]
+        weight[near[closer]], source[near[closer]] = new[closer], node
+        at = len(nodes) - 1 - int(weight[::-1].argmin())
+        out.append((source[at], nodes[at], weight[at]))
+        node = int(nodes[at])
     return np.array(sorted(out, key=lambda e: e[2]), float).reshape(-1, 3)
 
 
+def spanning_tree(reach: np.ndarray) -> np.ndarray:
+    """Prim's tree over a whole matrix of weights."""
+    return _prim(np.full(len(reach), -np.inf), lambda node, nodes: reach[node, nodes])
+
+
 def density_labels(v: np.ndarray, min_size: int = 5, min_samples: int | None = None, metric: str = "euclidean") -> np.ndarray:
     """HDBSCAN: the cluster of every row, -1 for noise; the whole may be one cluster.
 
     Core distance to the ``min_samples``-th neighbour, tree over mutual reachability, condensed by
-    ``min_size``, clusters by excess of mass (a parent wins ties).
+    ``min_size``, clusters by excess of mass (a parent wins ties). Distances are taken as they are
+    needed, so that memory grows by n, and time by n * n.
     """
     n = len(v)
     if n < min_size:
         return np.full(n, -1)
-    d = distances(np.asarray(v, np.float64), metric)
+    v = np.ascontiguousarray(v, np.float64)
     k = min(min_samples or min_size, n - 1)
-    core = np.sort(d + np.diag(np.full(n, np.inf)), axis=1)[:, k - 1] if n > 1 else np.zeros(1)
-    tree = spanning_tree(np.maximum(np.maximum(core[:, None], core[None]), d))
+    core = _core(v, k, metric) if n > 1 else np.zeros(1)
+
+    tree = _prim(core, lambda node, nodes: _distances_from(v[node], v, nodes, metric))
 
     # single linkage: node n + i merges two nodes
     root, size = list(range(2 * n)), [1] * n + [0] * n
@@ -314,7 +373,7 @@ def density_labels(v: np.ndarray, min_size: int = 5, min_samples: int | None = N
 
 
 def hdbscan(df: DataFrame, min_size: int = 5, min_samples: int | None = None, metric: str = "euclidean", by: list[str] | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(by, key, cluster_id) by density, -1 for noise. A clustering holds n * n distances in one task."""
+    """(by, key, cluster_id) by density, -1 for noise. A clustering is one task, whose memory grows by n and time by n * n."""
     check_metric(metric)
     if min_size < 2:
         raise ValidationError("min_size must be at least 2")

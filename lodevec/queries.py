@@ -366,7 +366,7 @@ def within_cluster_distance(spark, sf):
 
 _query("cluster_greedy")(lambda spark, sf: C.cluster_embeddings(_vectors(spark, sf), C.GreedyConfig(CLOSE, 5, 10)))
 _query("cluster_incremental")(lambda spark, sf: online.cluster_batches(_vectors(spark, sf), C.GreedyConfig(CLOSE)))
-_query("cluster_hdbscan")(lambda spark, sf: C.hdbscan(_vectors(spark, sf), 5, by=["label"]))
+_query("cluster_hdbscan")(lambda spark, sf: C.hdbscan(_vectors(spark, sf), 5))
 _query("optimal_k")(lambda spark, sf: C.optimal_k(_vectors(spark, sf), 2, 4))
 
 

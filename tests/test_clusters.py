@@ -6,6 +6,7 @@ from lodevec.errors import ValidationError
 from lodevec.operators import aggregate as G
 from lodevec.operators import clustering as C
 from lodevec.operators import quality as K
+from lodevec.queries import QUERIES
 
 AXES = [[1.0, 0.01 * i, 0.0] for i in range(3)] + [[0.0, 1.0, 0.01 * i] for i in range(3)]
 
@@ -95,6 +96,29 @@ def test_spanning_tree_is_least():
     assert len(tree) == 24 and tree[:, 2].sum() == pytest.approx(total) and (np.diff(tree[:, 2]) >= 0).all()
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
+def test_density_without_the_matrix_is_the_same(metric):
+    """Against the whole matrix, with groups of equal and of almost equal rows."""
+    r = np.random.default_rng(6)
+    v = np.concatenate([r.normal(size=(150, 6)), np.repeat(r.normal(size=(4, 6)), 7, 0), 3 + 1e-9 * r.normal(size=(20, 6))])
+    d = np.stack([C._distances_from(x, v, np.arange(len(v)), metric) for x in v])
+    assert (d == d.T).all() and d == pytest.approx(C.distances(v, metric), abs=2e-7)
+    core = np.sort(d + np.diag(np.full(len(v), np.inf)), axis=1)[:, 4]
+    assert (C._core(v, 5, metric, 64) == core).all()
+    reach = np.maximum(np.maximum(core[:, None], core[None]), d)
+    assert (C.spanning_tree(reach) == C._prim(core, lambda node, nodes: C._distances_from(v[node], v, nodes, metric))).all()
+
+
+def test_density_query_takes_the_whole_table(spark, tmp_path):
+    """Two clusters that span the labels; no label alone has enough rows for one."""
+    rows = [(i, [10.0 * (i % 2), 0.01 * i], i // 2) for i in range(16)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["cluster_hdbscan"](spark, str(tmp_path))
+    assert got.columns == ["vec_id", "cluster_id"]
+    got = {r.vec_id: r.cluster_id for r in got.collect()}
+    assert got == {i: got[i % 2] for i in range(16)} and set(got.values()) == {0, 1}
+
+
 def test_density_of_tables(spark):
     df = table(spark, AXES, part=[0, 0, 0, 1, 1, 1])
     assert C.hdbscan(df, 2, by=["part"]).count() == 6
