@@ -19,6 +19,7 @@ from lodevec.functions.vector import check_metric
 from lodevec.operators import quality
 from lodevec.operators.blocks import scores
 from lodevec.rng import permutation
+from lodevec.runtime import materialise
 
 
 @dataclass(frozen=True)
@@ -114,11 +115,8 @@ def _merge_closest(groups: list[np.ndarray], v: np.ndarray, limit: int, metric:
     return groups
 
 
-def greedy_labels(v: np.ndarray, config: GreedyConfig) -> np.ndarray:
-    """The cluster of every row: greedy pass, small clusters spread over the others, closest clusters merged."""
-    if not len(v):
-        return np.zeros(0, np.int64)
-    v = np.asarray(v, np.float32)
+def _greedy_groups(v: np.ndarray, config: GreedyConfig) -> list[np.ndarray]:
+    """The rows of each cluster before any is merged: greedy pass, small clusters spread over the others."""
     order = np.array(permutation(len(v), config.seed)) if config.shuffle else np.arange(len(v))
     leader = Leader(config.threshold, config.metric, config.strategy)
     first = np.array([leader.add(v[i]) for i in order])
@@ -134,24 +132,39 @@ def greedy_labels(v: np.ndarray, config: GreedyConfig) -> np.ndarray:
                 for i in g:
                     taken[int(scores(v[i][None].astype(np.float64), means, config.metric)[0].argmax())].append(np.array([i]))
         groups = [np.concatenate(t) for t in taken]
-    groups = _merge_closest(groups, v, config.max_clusters, config.metric)
-    out = np.zeros(len(v), np.int64)
-    for c, g in enumerate(groups):
-        out[g] = c
+    return groups
+
+
+def nested_labels(v: np.ndarray, config: GreedyConfig, limits: list[int]) -> np.ndarray:
+    """A column of ``greedy_labels`` for each of the ascending limits on clusters: each merges on from the next one's."""
+    out = np.zeros((len(v), len(limits)), np.int64)
+    if not len(v):
+        return out
+    v = np.asarray(v, np.float32)
+    groups = _greedy_groups(v, config)
+    for i in range(len(limits) - 1, -1, -1):
+        groups = _merge_closest(groups, v, limits[i], config.metric)
+        for c, g in enumerate(groups):
+            out[g, i] = c
     return out
 
 
-def _labelled(df: DataFrame, labels, by: list[str], key: str, vector: str) -> DataFrame:
+def greedy_labels(v: np.ndarray, config: GreedyConfig) -> np.ndarray:
+    """The cluster of every row: greedy pass, small clusters spread over the others, closest clusters merged."""
+    return nested_labels(v, config, [config.max_clusters])[:, 0]
+
+
+def _labelled(df: DataFrame, labels, by: list[str], key: str, vector: str, column: str = "cluster_id bigint") -> DataFrame:
     rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(*by, F.col(key), F.col(vector).cast("array<double>").alias("__v"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key, kind="stable")
         if pdf["__v"].map(len).nunique() > 1:
             raise ValidationError("vectors differ in length")
-        return pdf[[*by, key]].assign(cluster_id=labels(np.stack(pdf["__v"])))
+        return pdf[[*by, key]].assign(**{column.split()[0]: list(labels(np.stack(pdf["__v"])))})
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*by, key])
-    return rows.groupBy(*(by or [F.lit(0).alias("__all")])).applyInPandas(work, f"{kinds}, cluster_id bigint")
+    return rows.groupBy(*(by or [F.lit(0).alias("__all")])).applyInPandas(work, f"{kinds}, {column}")
 
 
 def cluster_embeddings(df: DataFrame, config: GreedyConfig = GreedyConfig(), by: list[str] | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -396,7 +409,8 @@ def optimal_k(df: DataFrame, min_k: int = 2, max_k: int | None = None, metric: s
     """(k, silhouette, within, chosen): greedy clusterings with at most k clusters, their measures, and the best one.
 
     ``silhouette`` takes the greatest (the first of equals), ``elbow`` the sharpest bend of the sum of
-    distances within clusters (min_k where there are fewer than three values).
+    distances within clusters (min_k where there are fewer than three values). The greedy pass and the
+    pairs of rows are gone through once for all k.
     """
     if min_k < 2:
         raise ValidationError("min_k must be at least 2")
@@ -404,11 +418,12 @@ def optimal_k(df: DataFrame, min_k: int = 2, max_k: int | None = None, metric: s
         raise ValidationError(f"unknown method {method!r}")
     n = df.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).count()
     last = max(min_k, min(10, n // 2) if max_k is None else max_k)
-    rows = []
-    for k in range(min_k, last + 1):
-        own = cluster_embeddings(df, GreedyConfig(0.0, 1, k, metric), key=key, vector=vector)
-        members = df.select(F.col(key), F.col(vector)).join(own, key)
-        rows.append((k, float(quality.silhouette(members, metric, vector, key).first()[0]), float(quality.within_cluster_distance(members, metric, vector).first()[0])))
+    ks = list(range(min_k, last + 1))
+    own = _labelled(df, lambda v: nested_labels(v, GreedyConfig(0.0, 1, last, metric), ks), [], key, vector, "cluster_ids array<bigint>")
+    members = df.select(F.col(key), F.col(vector)).join(materialise(own, "nested-labels"), key)
+    found = {r.pos: r.silhouette for r in quality.nested_silhouettes(members, metric, vector, key).collect()}
+    within = [quality.within_cluster_distance(members.withColumn("cluster_id", F.col("cluster_ids")[i]), metric, vector).first()[0] for i in range(len(ks))]
+    rows = [(k, float(found.get(i, 0.0)), float(within[i])) for i, k in enumerate(ks)]
     if method == "silhouette":
         best = max(rows, key=lambda r: (round(r[1], 12), -r[0]))[0]
     else:

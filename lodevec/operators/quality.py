@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodevec.functions.vector import check_metric, distance, score
 from lodevec.operators import blocks
 from lodevec.operators.aggregate import average
-from lodevec.runtime import broadcast_if_small
+from lodevec.runtime import broadcast_if_small, materialise
 
 
 def centroids(members: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -70,18 +70,38 @@ def _pair_sums(members: DataFrame, metric: str, vector: str, key: str, distances
     return sums.join(one, "a").join(two, "b").select("id", "a_cluster", "b_cluster", "total")
 
 
-def silhouette(members: DataFrame, metric: str = "cosine", vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """One row (silhouette): the mean of (b - a) / max(a, b); a member alone has a = 0; 0 for at most one cluster."""
-    check_metric(metric)
-    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
-    sums = _pair_sums(members, metric, vector, key, True).join(sizes.withColumnRenamed("cluster_id", "b_cluster"), "b_cluster")
+def _silhouettes(sums: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, silhouette) from sums of distances (by, id, a_cluster, b_cluster, total) and sizes (by, cluster_id, n)."""
+    sums = sums.join(sizes.withColumnRenamed("cluster_id", "b_cluster"), [*by, "b_cluster"])
     own = F.col("a_cluster") == F.col("b_cluster")
-    per = sums.groupBy("id").agg(
+    per = sums.groupBy(*by, "id").agg(
         F.max(F.when(own, F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1)).otherwise(0.0))).alias("a"),
         F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
     )
     value = F.when(F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return per.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("silhouette"))
+    return per.groupBy(*by).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("silhouette"))
+
+
+def silhouette(members: DataFrame, metric: str = "cosine", vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """One row (silhouette): the mean of (b - a) / max(a, b); a member alone has a = 0; 0 for at most one cluster."""
+    check_metric(metric)
+    sizes = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    return _silhouettes(_pair_sums(members, metric, vector, key, True), sizes, [])
+
+
+def nested_silhouettes(members: DataFrame, metric: str = "cosine", vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """(pos, silhouette) of the clusterings ``cluster_ids[pos]`` of each row, from one pass over all pairs.
+
+    The clusters of each are unions of clusters of the last, so that sums over the last one's clusters add up.
+    """
+    check_metric(metric)
+    fine = members.withColumn("cluster_id", F.element_at("cluster_ids", -1))
+    names = materialise(fine.select("cluster_id", F.posexplode("cluster_ids").alias("pos", "c")).groupBy("cluster_id", "pos", "c").agg(F.count("*").alias("n")), "nested-clusters")
+    a = names.select(F.col("cluster_id").alias("a_fine"), "pos", F.col("c").alias("a_cluster"))
+    b = names.select(F.col("cluster_id").alias("b_fine"), "pos", F.col("c").alias("b_cluster"))
+    sums = _pair_sums(fine, metric, vector, key, True).withColumnsRenamed({"a_cluster": "a_fine", "b_cluster": "b_fine"})
+    sums = sums.join(a, "a_fine").join(b, ["b_fine", "pos"]).groupBy("pos", "id", "a_cluster", "b_cluster").agg(F.sum("total").alias("total"))
+    return _silhouettes(sums, names.groupBy("pos", F.col("c").alias("cluster_id")).agg(F.sum("n").alias("n")), ["pos"])
 
 
 def centroid_cohesion(members: DataFrame, metric: str = "cosine", vector: str = "embedding") -> DataFrame:

@@ -367,7 +367,7 @@ def within_cluster_distance(spark, sf):
 _query("cluster_greedy")(lambda spark, sf: C.cluster_embeddings(_vectors(spark, sf), C.GreedyConfig(CLOSE, 5, 10)))
 _query("cluster_incremental")(lambda spark, sf: online.cluster_batches(_vectors(spark, sf), C.GreedyConfig(CLOSE)))
 _query("cluster_hdbscan")(lambda spark, sf: C.hdbscan(_vectors(spark, sf), 5))
-_query("optimal_k")(lambda spark, sf: C.optimal_k(_vectors(spark, sf), 2, 4))
+_query("optimal_k")(lambda spark, sf: C.optimal_k(_vectors(spark, sf)))
 
 
 @_query("core_distances", "WITH d AS (SELECT a.vec_id AS id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS r FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) SELECT id, round(d, 6) AS core_distance FROM d WHERE r = 5")

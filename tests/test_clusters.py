@@ -188,6 +188,27 @@ def test_optimal_k(spark):
             C.optimal_k(df, **bad)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_optimal_k_measures_each_clustering(spark, metric):
+    v = np.random.default_rng(8).normal(size=(60, 12)).astype(np.float32)
+    df = table(spark, v)
+    got = {r.k: (r.silhouette, r.within) for r in C.optimal_k(df, 2, 6, metric).collect()}
+    for k in range(2, 7):
+        labels = C.greedy_labels(v.astype(float), C.GreedyConfig(0.0, 1, k, metric))
+        members = table(spark, v, cluster_id=labels.tolist())
+        assert got[k] == pytest.approx((K.silhouette(members, metric).first()[0], K.within_cluster_distance(members, metric).first()[0]), abs=1e-9)
+    assert set(got) == set(range(2, 7))
+
+
+def test_optimal_k_query_takes_the_default_range(spark, tmp_path):
+    """Five groups at the corners of a simplex: the best k is above 4."""
+    corners = np.eye(5) - 0.2
+    rows = [(i, (corners[i % 5] + 0.001 * np.eye(5)[i // 5]).tolist()) for i in range(25)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["optimal_k"](spark, str(tmp_path)).collect()
+    assert [r.k for r in got] == list(range(2, 11)) and [r.k for r in got if r.chosen] == [5]
+
+
 def test_pooling(spark):
     df = spark.createDataFrame([("a", [1.0, 4.0], 1.0), ("a", [3.0, 0.0], 3.0), ("b", [5.0, 5.0], 0.0), ("c", None, 1.0), (None, [1.0, 1.0], None)], "g string, embedding array<float>, w double")
     got = lambda out: {r.g: r.embedding for r in out.collect()}
