@@ -215,7 +215,8 @@ def similarity_matrix(spark, sf):
 
 @_query("mmr_search")
 def mmr_search(spark, sf):
-    return S.mmr_search(_label_queries(spark, sf), _vectors(spark, sf), 10)
+    e = _vectors(spark, sf)
+    return S.mmr_search(e.withColumnRenamed("vec_id", "query_id"), e, 10)
 
 
 _CROSS = f"WITH {_MEANS}, r AS (SELECT query_id, id, score, embedding, c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT m.label AS query_id, e.vec_id AS id, m.c, e.embedding, list_cosine_similarity(m.c, e.embedding::DOUBLE[]) AS score FROM means m, embeddings e)) WHERE rank <= 20)"

@@ -9,6 +9,7 @@ from lodevec.operators.blocks import scores
 from lodevec.operators.hnsw import HnswIndex, build
 from lodevec.operators.hnsw import search as hnsw_search
 from lodevec.operators.index import EmbeddingStore, SearchIndex
+from lodevec.queries import QUERIES
 from lodevec.sources.providers import HashProvider
 
 KIND = "vec_id long, embedding array<float>, label string"
@@ -95,6 +96,23 @@ def test_mmr_follows_its_definition(spark, lam):
     assert S.mmr_search(q, df, 0).count() == 0
 
 
+def test_mmr_query_asks_every_row(spark, tmp_path):
+    v, _ = random_table(spark, 45, 6, 7)
+    spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in QUERIES["mmr_search"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    s = scores(v.astype(float), v.astype(float), "cosine")
+    assert len(got) == 45
+    for q, ids in got.items():
+        pool, taken = list(np.lexsort((np.arange(45), -np.round(s[q], 9)))[:40]), []
+        while len(taken) < 10:
+            best = max(pool, key=lambda i: (round(0.5 * s[q, i] - 0.5 * max([0, *s[i, taken]]), 12), -pool.index(i)))
+            taken.append(int(best))
+            pool.remove(best)
+        assert ids == taken
+
+
 def test_fusion_and_normalisation(spark):
     lists = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "b"), (2, 2, "c"), (2, 3, "d")], "list_id int, rank int, id string")
     got = S.fuse_ranked_lists(lists).orderBy("rank").collect()
