@@ -152,30 +152,19 @@ def calibrated_dequantize(codes: Column | str, low: Column | str, high: Column |
     return F.transform(_col(codes), lambda b, i: F.element_at(low, i + 1) + b / F.lit(255.0) * (F.element_at(high, i + 1) - F.element_at(low, i + 1))).cast("array<float>")
 
 
-def hamming_top_k(df: DataFrame, k: int, dimensions: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, distance, similarity): for every row the k others with the nearest sign codes.
+def hamming_top_k(df: DataFrame, k: int, dimensions: int, key: str = "vec_id", vector: str = "embedding", queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, id, distance, similarity): for every row (or every one of ``queries``) the k others with the nearest sign codes.
 
-    Codes are compared by blocks of packed bits; ties go to the lesser id.
+    Codes are compared by tiles, as products of their signs; ties go to the lesser id.
     """
     from pyspark.sql import Window
 
     from lodevec.operators import blocks
 
-    good = df.where(F.col(vector).isNotNull())
-    left, right = blocks.packed(good, key, vector, "a"), blocks.packed(good, key, vector, "b")
-
-    def near(ids, v, other, w):
-        a, b = np.packbits(v > 0, axis=1), np.packbits(w > 0, axis=1)
-        d = np.zeros((len(a), len(b)), np.int64)
-        for i in range(a.shape[1]):
-            d += np.bitwise_count(a[:, i][:, None] ^ b[:, i][None])
-        d[ids[:, None] == other[None]] = 1 << 40
-        kept = min(k, len(other))
-        order = np.lexsort((np.broadcast_to(other, d.shape), d), axis=1)[:, :kept]
-        found = np.take_along_axis(d, order, 1)
-        real = found.ravel() < 1 << 40
-        return np.repeat(ids, kept)[real], other[order].ravel()[real], found.ravel()[real]
-
-    pairs = blocks.per_pair(left, right, near, "query_id bigint, id bigint, distance bigint", ["query_id", "id", "distance"])
+    own = blocks.packed(df, key, vector)
+    asked = own if queries is None else blocks.packed(queries, key, vector)
+    signs = lambda v: np.where(v > 0, np.float32(1), np.float32(-1))
+    pairs = blocks.best_of(asked, own, lambda a, b: (signs(a) @ signs(b).T - a.shape[1]) / 2, k, others=True)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    pairs = pairs.select("query_id", "id", (-F.col("score")).cast("bigint").alias("distance"))
     return pairs.withColumn("rank", place).where(F.col("rank") <= k).withColumn("similarity", 1 - F.col("distance") / dimensions)

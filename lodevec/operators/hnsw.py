@@ -1,7 +1,8 @@
 """Approximate search by hierarchical proximity graphs, one for each shard of the corpus.
 
-``build`` gives one binary row a shard, ``search`` sends every block of queries to every shard and merges
-the shards' answers by one small shuffle.
+``build`` gives one binary row a shard, which can be written and read again; ``update`` adds and removes
+items; ``search`` brings each shard together with the blocks of queries, reads it once, takes all queries
+through the graph in step as array operations, and merges the shards' answers by one small shuffle.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ import struct
 from heapq import heapify, heappop, heappush
 from math import floor, log
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,8 +26,10 @@ from lodevec.operators import blocks
 from lodevec.operators.search import _ranked
 from lodevec.rng import generator
 
-#: Rows of a shard, about.
-SHARD_ROWS = 20_000
+#: Rows of a shard, about; queries that meet a copy of a shard, about.
+SHARD_ROWS, QUERY_ROWS = 20_000, 50_000
+#: Items that ``add_batch`` adds in bulk, at least; nodes that a step of a batch of searches follows.
+BULK_ROWS, AHEAD = 64, 4
 
 
 class HnswIndex:
@@ -136,8 +141,141 @@ class HnswIndex:
             self.entry = node
 
     def add_batch(self, items) -> None:
-        for item in items:
-            self.add(*item)
+        """Adds (id, vector, metadata or none). Many at a time find their neighbours by products with all
+        earlier nodes, as a beam without a limit would; few are added one by one."""
+        items = list(items)
+        if len(items) < BULK_ROWS or self.metric == "manhattan":
+            for item in items:
+                self.add(*item)
+            return
+        last = {key: i for i, (key, *_) in enumerate(items)}
+        items = [x for i, x in enumerate(items) if last[x[0]] == i]
+        new = np.stack([np.asarray(v, np.float32).astype(np.float64) for _, v, *_ in items])
+        if self.dim and new.shape[1] != self.dim:
+            raise DimensionMismatchError(f"the index has {self.dim} dimensions, the vectors {new.shape[1]}")
+        for key, *_ in items:
+            self.remove(key)
+        before, self.dim = len(self.ids), new.shape[1]
+        total = before + len(new)
+        v = np.concatenate([self._v[:before].reshape(before, self.dim), new])
+        self._v, self._norm = v, np.sqrt((v * v).sum(1))
+        near: list[list[dict[int, float]]] = [[dict(zip(own, self._distance(v[n], own).tolist())) if (own := sorted(x)) else {} for x in layers] for n, layers in enumerate(self.links)]
+        levels = [len(x) - 1 for x in self.links] + [floor(-log(self._draw() or 2**-32) / log(self.m)) for _ in new]
+        for (key, _, *meta), n in zip(items, range(before, total)):
+            self.ids.append(key)
+            self.meta.append(meta[0] if meta else None)
+            self.dead.append(False)
+            self.at[key] = n
+            near.append([{} for _ in range(levels[n] + 1)])
+        level = np.array(levels)
+        for layer in range(level.max() + 1):
+            cap = 2 * self.m if layer == 0 else self.m
+            nodes = np.flatnonzero(level >= layer)
+            for start in range(int(np.searchsorted(nodes, before)), len(nodes), 512):
+                rows = nodes[start : start + 512]
+                earlier = nodes[: start + len(rows)]
+                d = self._distances(v[rows], v[earlier])
+                d[earlier[None] >= rows[:, None]] = np.inf
+                k = min(self.m, len(earlier))
+                best = np.argpartition(d, k - 1, axis=1)[:, :k]
+                for n, own, far in zip(rows.tolist(), earlier[best].tolist(), np.take_along_axis(d, best, 1).tolist()):
+                    for dx, x in sorted(zip(far, own)):
+                        if dx == np.inf:
+                            break
+                        near[n][layer][x] = near[x][layer][n] = dx
+                        if len(near[x][layer]) > cap:
+                            out = max(near[x][layer].items(), key=lambda e: (e[1], e[0]))[0]
+                            del near[x][layer][out]
+                            near[out][layer].pop(x, None)
+        self.links = [[set(x) for x in layers] for layers in near]
+        top = len(self.links[self.entry]) - 1 if self.entry >= 0 else -1
+        for n in range(before, total):
+            if levels[n] > top:
+                self.entry, top = n, levels[n]
+
+    def _distances(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of all rows of a to all rows of b."""
+        s = blocks.scores(a, b, self.metric)
+        return 1 - s if self.metric in ("cosine", "dot") else 1 / s - 1
+
+    def _pair_distances(self, q: np.ndarray, norms: np.ndarray, row: np.ndarray, node: np.ndarray) -> np.ndarray:
+        a, b = q[row], self._v[node]
+        if self.metric == "euclidean":
+            return np.sqrt(((a - b) ** 2).sum(1))
+        if self.metric == "manhattan":
+            return np.abs(a - b).sum(1)
+        product = np.einsum("ij,ij->i", a, b)
+        if self.metric == "dot":
+            return 1 - product
+        both = norms[row] * self._norm[node]
+        return 1 - np.divide(product, both, out=np.zeros_like(product), where=both != 0)
+
+    def search_batch(self, vectors: np.ndarray, k: int = 10, ef: int = 50, keep=None) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, distances), k columns for each query, -1 and inf where there are fewer.
+
+        All queries take the same steps. They begin at the nearest nodes of the upper layers, which are found
+        by a product, so that groups without links to the rest are entered too.
+        """
+        if k < 1:
+            raise ValidationError("k must be positive")
+        q, ef, n = np.ascontiguousarray(vectors, np.float64), max(ef, k), len(self.ids)
+        if not self.at or not len(q):
+            return np.full((len(q), k), -1), np.full((len(q), k), np.inf)
+        if q.shape[1] != self.dim:
+            raise DimensionMismatchError(f"the index has {self.dim} dimensions, the queries {q.shape[1]}")
+        width = max(1, max(len(x[0]) for x in self.links))
+        links = np.full((n, width), -1, np.int32)
+        for i, x in enumerate(self.links):
+            links[i, : len(x[0])] = sorted(x[0])
+        upper = np.array([i for i, x in enumerate(self.links) if len(x) > 1] or [self.entry])
+        norms = np.sqrt((q * q).sum(1))
+        out_n, out_d = np.full((len(q), k), -1), np.full((len(q), k), np.inf)
+        stay = ~np.array(self.dead)
+        if keep is not None:
+            stay &= np.array([keep(key, meta) for key, meta in zip(self.ids, self.meta)], bool)
+        for at in range(0, len(q), 512):
+            own, own_norms = q[at : at + 512], norms[at : at + 512]
+            m = len(own)
+            seen, stamp = np.zeros((m, n), bool), np.zeros((m, n), np.int16)
+            far = self._distances(own, self._v[upper])
+            starts = min(len(upper), max(8, ef // 4))
+            pick = np.argpartition(far, starts - 1, axis=1)[:, :starts]
+            d, node, open_ = np.full((m, ef), np.inf), np.full((m, ef), -1), np.zeros((m, ef), bool)
+            starts = min(starts, ef)
+            pick = np.take_along_axis(pick, np.argsort(np.take_along_axis(far, pick, 1), axis=1, kind="stable"), 1)[:, :starts]
+            d[:, :starts], node[:, :starts], open_[:, :starts] = np.take_along_axis(far, pick, 1), upper[pick], True
+            seen[np.arange(m)[:, None], upper[pick]] = True
+            live = np.arange(m)
+            while len(live):
+                ahead = np.argsort(~open_[live], axis=1, kind="stable")[:, :AHEAD]
+                real = np.take_along_axis(open_[live], ahead, 1)
+                from_ = np.where(real, np.take_along_axis(node[live], ahead, 1), 0)
+                open_[live[:, None], ahead] = False
+                next_ = np.where(real[:, :, None], links[from_], -1).reshape(len(live), -1)
+                row, col = np.nonzero(next_ >= 0)
+                x = next_[row, col]
+                fresh = ~seen[live[row], x]
+                row, col, x = row[fresh], col[fresh], x[fresh]
+                stamp[live[row], x] = col
+                first = stamp[live[row], x] == col  # a node that two of the followed ones lead to counts once
+                row, col, x = row[first], col[first], x[first]
+                seen[live[row], x] = True
+                new_d, new_n = np.full(next_.shape, np.inf), np.full(next_.shape, -1)
+                new_d[row, col], new_n[row, col] = self._pair_distances(own, own_norms, live[row], x), x
+                all_d = np.concatenate([d[live], new_d], axis=1)
+                all_n = np.concatenate([node[live], new_n], axis=1)
+                all_o = np.concatenate([open_[live], new_n >= 0], axis=1)
+                best = np.argpartition(all_d, ef - 1, axis=1)[:, :ef]
+                best = np.take_along_axis(best, np.argsort(np.take_along_axis(all_d, best, 1), axis=1, kind="stable"), 1)
+                d[live], node[live], open_[live] = (np.take_along_axis(y, best, 1) for y in (all_d, all_n, all_o))
+                open_[live] &= node[live] >= 0
+                live = live[open_[live].any(1)]
+            good = (node >= 0) & stay[node]
+            order = np.argsort(~good, axis=1, kind="stable")[:, :k]
+            kept = np.take_along_axis(good, order, 1)
+            out_n[at : at + m, : order.shape[1]] = np.where(kept, np.take_along_axis(node, order, 1), -1)
+            out_d[at : at + m, : order.shape[1]] = np.where(kept, np.take_along_axis(d, order, 1), np.inf)
+        return out_n, out_d
 
     def get(self, key: str):
         n = self.at.get(key)
@@ -227,34 +365,97 @@ class HnswIndex:
         return out
 
 
-def build(corpus: DataFrame, metric: str = "cosine", m: int = 16, ef_construction: int = 200, seed: int = 42, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(shard, n, index): rows are spread over shards by the hash of their key. Null keys and vectors are left out."""
-    rows = corpus.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+def _items(rows: DataFrame, key: str, vector: str, metadata: str | None) -> DataFrame:
+    meta = F.to_json(F.col(metadata)) if metadata else F.lit(None).cast("string")
+    return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("v"), meta.alias("meta"))
+
+
+def _shard(shards: int):
+    return F.pmod(F.xxhash64("id"), F.lit(shards))
+
+
+def _of_frame(pdf: pd.DataFrame) -> list[tuple]:
+    return [(key, v, json.loads(m) if isinstance(m, str) else None) for key, v, m in pdf.sort_values("id")[["id", "v", "meta"]].itertuples(index=False)]
+
+
+_SHARD = "shard bigint, shards bigint, n bigint, index binary"
+
+
+def build(corpus: DataFrame, metric: str = "cosine", m: int = 16, ef_construction: int = 200, seed: int = 42, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, metadata: str | None = None) -> DataFrame:
+    """(shard, shards, n, index): rows are spread over shards by the hash of their key, with the column ``metadata`` (a map or struct).
+
+    Null keys and vectors are left out; of rows that share a key one is taken.
+    """
+    rows = _items(corpus, key, vector, metadata)
     shards = max(1, -(-rows.count() // shard_rows))
 
     def make(pdf: pd.DataFrame) -> pd.DataFrame:
         index = HnswIndex(metric, m, ef_construction, seed)
-        for key_, v in pdf.sort_values("id")[["id", "v"]].itertuples(index=False):
-            index.add(key_, v)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "n": [len(index)], "index": [index.to_bytes()]})
+        index.add_batch(_of_frame(pdf))
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "shards": [shards], "n": [len(index)], "index": [index.to_bytes()]})
+
+    return rows.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(make, _SHARD)
 
-    return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("shard").applyInPandas(make, "shard bigint, n bigint, index binary")
 
+def update(index: DataFrame, add: DataFrame | None = None, remove: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding", metadata: str | None = None) -> DataFrame:
+    """The index with the rows of ``add`` (a known key is replaced) and without the keys of ``remove``; only shards are rewritten."""
+    shards = index.agg(F.max("shards")).first()[0]
+    if not shards:
+        raise ValidationError("the index has no shard")
+    none = index.sparkSession.createDataFrame([], "id string, v array<float>, meta string")
+    new = (_items(add, key, vector, metadata) if add is not None else none).withColumn("gone", F.lit(False))
+    if remove is not None:
+        new = new.unionByName(remove.select(F.col(key).cast("string").alias("id"), F.lit(None).cast("array<float>").alias("v"), F.lit(None).cast("string").alias("meta"), F.lit(True).alias("gone")))
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = 50, query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): about the k nearest items of every query; ids of the corpus must be integers."""
+    def change(old: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(old):  # the shard had no row yet
+            return pd.DataFrame({"shard": [], "shards": [], "n": [], "index": []}) if rows["gone"].all() else make_first(rows)
+        own = HnswIndex.from_bytes(old["index"].iloc[0])
+        for x in rows.loc[rows["gone"], "id"]:
+            own.remove(x)
+        own.add_batch(_of_frame(rows[~rows["gone"]]))
+        return old[["shard", "shards"]].assign(n=[len(own)], index=[own.to_bytes()])
+
+    head = index.select("index").first()
+    model = HnswIndex.from_bytes(head[0])
+
+    def make_first(rows: pd.DataFrame) -> pd.DataFrame:
+        own = HnswIndex(model_metric, model_m, model_ef)
+        own.add_batch(_of_frame(rows[~rows["gone"]]))
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "shards": [shards], "n": [len(own)], "index": [own.to_bytes()]})
+
+    model_metric, model_m, model_ef = model.metric, model.m, model.ef
+    return index.groupBy("shard").cogroup(new.withColumn("shard", _shard(shards)).groupBy("shard")).applyInPandas(change, _SHARD)
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = 100, query_key: str = "query_id", vector: str = "embedding", keep: Callable[[str, object], bool] | None = None, with_metadata: bool = False, id_type: str = "bigint") -> DataFrame:
+    """(query_id, rank, id, score and perhaps metadata): about the k nearest items of every query.
+
+    ``keep(id, metadata)`` filters what the search found, as it isn't part of the graph; ``metadata`` is a map.
+    A shard is read once for about ``QUERY_ROWS`` queries.
+    """
     if k < 1:
         raise ValidationError("k must be positive")
-    packed = blocks.packed(queries, query_key, vector, "q")
-    pairs = index.select("index").crossJoin(packed).repartition(queries.sparkSession.sparkContext.defaultParallelism * 3)
-
-    def ask(batches):
-        for b in batches:
-            for i in range(len(b)):
-                own, ids = HnswIndex.from_bytes(b.column(0)[i].as_py()), b.column(1)[i].values.to_numpy()
-                hits = [(q, int(key), s) for q, v in zip(ids.tolist(), blocks.matrix(b.column(2)[i], len(ids))) for key, s in own.search(v, k, ef)]
-                q, key, s = zip(*hits) if hits else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(key, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
-
-    found = pairs.mapInArrow(ask, "query_id bigint, id bigint, score double")
-    return _ranked(found, k).select("query_id", "rank", "id", "score")
+    packed = blocks.packed(queries, query_key, vector)
+    shards, groups = index.agg(F.coalesce(F.max("shards"), F.lit(1))).first()[0], max(1, -(-packed.rows // QUERY_ROWS))
+    all_shards, all_groups = (F.sequence(F.lit(0).cast("bigint"), F.lit(x - 1).cast("bigint")) for x in (shards, groups))
+    asked = packed.table.select(F.explode(all_shards).alias("shard"), F.pmod("strip", F.lit(groups)).alias("group"), "ids", "flat")
+    there = index.select("shard", F.explode(all_groups).alias("group"), "index")
+    kind = pa.schema([("query_id", pa.int64()), ("id", pa.string()), ("score", pa.float64()), ("metadata", pa.string())])
+
+    def ask(shard: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(shard) or not len(rows):
+            return kind.empty_table()
+        own = HnswIndex.from_bytes(shard.column("index")[0].as_py())
+        ids = [x.values.to_numpy() for x in rows.column("ids")]
+        q = np.concatenate([blocks.matrix(x, len(i)) for x, i in zip(rows.column("flat"), ids)])
+        node, d = own.search_batch(q, k, ef, keep)
+        row, col = np.nonzero(node >= 0)
+        hit, s = node[row, col], d[row, col]
+        s = 1 - s if own.metric in ("cosine", "dot") else 1 / (1 + s)
+        meta = [json.dumps(own.meta[n]) if with_metadata and own.meta[n] is not None else None for n in hit.tolist()]
+        return pa.table({"query_id": np.concatenate(ids)[row], "id": pa.array([own.ids[n] for n in hit.tolist()], pa.string()), "score": s, "metadata": pa.array(meta, pa.string())})
+
+    found = there.groupBy("shard", "group").cogroup(asked.groupBy("shard", "group")).applyInArrow(ask, "query_id bigint, id string, score double, metadata string")
+    found = found.select("query_id", F.col("id").cast(id_type).alias("id"), "score", F.from_json("metadata", "map<string,string>").alias("metadata"))
+    return _ranked(found, k).select("query_id", "rank", "id", "score", *(["metadata"] if with_metadata else []))

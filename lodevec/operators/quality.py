@@ -51,23 +51,27 @@ def _pair_sums(members: DataFrame, metric: str, vector: str, key: str, distances
     rows = members.join(broadcast_if_small(names, names.count(), 64), "cluster_id").select(F.col(key).alias("id"), F.col("number").cast("double").alias("c"), F.col(vector).cast("array<double>").alias("v"))
     tagged = rows.select("id", F.concat(F.array("c"), "v").alias("v"))
 
-    def work(ids, a, other, b):
+    def sums(ids, ca, cb, s):
+        order = np.argsort(cb, kind="stable")
+        present, first = np.unique(cb[order], return_index=True)
+        part = np.add.reduceat(s[:, order], first, axis=1)
+        return np.repeat(ids, len(present)), np.repeat(ca, len(present)), np.tile(present, len(ids)), part.ravel()
+
+    def work(ids, a, other, b, same):
         ca, cb = a[:, 0].astype(np.int64), b[:, 0].astype(np.int64)
         s = blocks.scores(a[:, 1:], b[:, 1:], metric)
         if distances:
             s = 1 - s if metric in ("cosine", "dot") else 1 / s - 1
         s[ids[:, None] == other[None]] = 0
-        present = np.unique(cb)
-        sums = np.stack([s[:, cb == c].sum(1) for c in present], axis=1)
-        return np.repeat(ids, len(present)), np.repeat(ca, len(present)), np.tile(present, len(ids)), sums.ravel()
+        one = sums(ids, ca, cb, s)
+        return one if same else tuple(np.concatenate(x) for x in zip(one, sums(other, cb, ca, s.T)))
 
-    left, right = blocks.packed(tagged, "id", "v", "a"), blocks.packed(tagged, "id", "v", "b")
-    parts = blocks.per_pair(left, right, work, "id bigint, a bigint, b bigint, part double", ["id", "a", "b", "part"])
-    sums = parts.groupBy("id", "a", "b").agg(F.sum("part").alias("total"))
+    parts = blocks.per_pair(blocks.packed(tagged, "id", "v"), None, work, "id bigint, a bigint, b bigint, part double", ["id", "a", "b", "part"])
+    totals = parts.groupBy("id", "a", "b").agg(F.sum("part").alias("total"))
     name = broadcast_if_small(names, names.count(), 64)
     one = name.select(F.col("number").cast("bigint").alias("a"), F.col("cluster_id").alias("a_cluster"))
     two = name.select(F.col("number").cast("bigint").alias("b"), F.col("cluster_id").alias("b_cluster"))
-    return sums.join(one, "a").join(two, "b").select("id", "a_cluster", "b_cluster", "total")
+    return totals.join(one, "a").join(two, "b").select("id", "a_cluster", "b_cluster", "total")
 
 
 def _silhouettes(sums: DataFrame, sizes: DataFrame, by: list[str]) -> DataFrame:
@@ -139,12 +143,12 @@ def assign_to_cluster(rows: DataFrame, means: DataFrame, metric: str = "cosine",
     """
     check_metric(metric)
 
-    def nearest(ids, v, names, m):
+    def nearest(ids, v, names, m, _):
         s = blocks.scores(v, m, metric)
         order = np.lexsort((np.broadcast_to(names, s.shape), -np.round(s, 12)), axis=1)[:, 0]
         return ids, names[order], s[np.arange(len(ids)), order]
 
-    parts = blocks.per_pair(blocks.packed(rows, key, vector, "a"), blocks.packed(means, "cluster_id", "centroid", "b"), nearest, "id bigint, cluster_id bigint, similarity double", ["id", "cluster_id", "similarity"])
+    parts = blocks.per_pair(blocks.packed(rows, key, vector), blocks.packed(means, "cluster_id", "centroid"), nearest, "id bigint, cluster_id bigint, similarity double", ["id", "cluster_id", "similarity"])
     best = parts.groupBy("id").agg(F.min_by(F.struct("cluster_id", "similarity"), F.struct(-F.round("similarity", 12), F.col("cluster_id"))).alias("b"))
     if not means.take(1):
         return rows.select(F.col(key).cast("bigint").alias("id"), F.lit(-1).cast("bigint").alias("cluster_id"), F.lit(float("-inf")).alias("similarity"))

@@ -10,13 +10,15 @@ from __future__ import annotations
 from math import isfinite
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodevec.errors import ValidationError
 from lodevec.functions.vector import check_metric, literal, score
 from lodevec.operators import blocks
-from lodevec.runtime import broadcast_if_small, materialise
+from lodevec.plans.components import connected_components
+from lodevec.runtime import broadcast_if_small, discard, materialise, ranked
 
 
 def _check_k(k: int) -> None:
@@ -61,8 +63,8 @@ def _ranked(pairs: DataFrame, k: int | None = None) -> DataFrame:
 def top_k_multi(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", where: Column | str | None = None, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", strategy: str = "blocks") -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows of every query.
 
-    ``blocks``: matrix products of pairs of blocks, each of which keeps k rows a query, then one small
-    shuffle; for any sizes. ``expression``: a cross join scored inside the JVM, with the queries
+    ``blocks``: matrix products by tiles, each of which keeps k rows a query, then one small shuffle; for
+    any sizes. ``expression``: a cross join scored inside the JVM, with the queries
     broadcast if they are few; suits a handful of queries.
     """
     _check_k(k)
@@ -74,14 +76,7 @@ def top_k_multi(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "co
         pairs = rows.select(F.col(key).alias("id"), F.col(vector).alias("__v")).crossJoin(broadcast_if_small(q, n, 8 * size + 16))
         return _ranked(pairs.select("query_id", "id", score("__q", "__v", metric).alias("score")), k).select("query_id", "rank", "id", "score")
 
-    def best(q_ids, q, ids, v):
-        s = blocks.scores(q, v, metric)
-        kept = min(k, len(ids))
-        rank = np.round(np.where(np.isnan(s), -np.inf, s), 9)
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -rank), axis=1)[:, :kept]
-        return np.repeat(q_ids, kept), ids[order].ravel(), np.take_along_axis(s, order, 1).ravel()
-
-    pairs = blocks.per_pair(blocks.packed(queries, query_key, vector, "q"), blocks.packed(rows, key, vector, "v"), best, "query_id bigint, id bigint, score double", ["query_id", "id", "score"])
+    pairs = blocks.best_of(blocks.packed(queries, query_key, vector), blocks.packed(rows, key, vector), lambda q, v: blocks.scores(q, v, metric), k)
     return _ranked(pairs, k).select("query_id", "rank", "id", "score")
 
 
@@ -95,49 +90,117 @@ def pairwise_similarity(left: DataFrame, right: DataFrame, on: str, metric: str
 
 
 def similar_pairs(df: DataFrame, threshold: float, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(a, b, score) with a < b and a score of at least ``threshold``, by blocks."""
+    """(a, b, score) with a < b and a score of at least ``threshold``; each pair of blocks is compared once."""
     check_metric(metric)
 
-    def close(ids, v, other, w):
+    def close(ids, v, other, w, same):
         s = blocks.scores(v, w, metric)
-        x, y = np.nonzero((s >= threshold) & (ids[:, None] < other[None]))
-        return ids[x], other[y], s[x, y]
+        near = s >= threshold
+        x, y = np.nonzero(near & (ids[:, None] < other[None]) if same else near & (ids[:, None] != other[None]))
+        return np.minimum(ids[x], other[y]), np.maximum(ids[x], other[y]), s[x, y]
+
+    return blocks.per_pair(blocks.packed(df, key, vector), None, close, "a bigint, b bigint, score double", ["a", "b", "score"])
 
-    left, right = blocks.packed(df, key, vector, "a"), blocks.packed(df, key, vector, "b")
-    return blocks.per_pair(left, right, close, "a bigint, b bigint, score double", ["a", "b", "score"])
 
+def similar_classes(df: DataFrame, threshold: float, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, class_id, links) of every row with a key and a vector: its class and the number of rows similar to it.
 
-def similarity_matrix(df: DataFrame, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(i, j, score) of all ordered pairs, the diagonal's own scores included."""
+    A class is a connected component of the pairs at ``threshold``, named by its least key; a row without a
+    similar one is a class of its own. Equal vectors are compared once and stand for all their copies, which
+    have one another as links, so that a group of copies isn't expanded into its pairs.
+    """
     check_metric(metric)
+    rows = df.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("__key"), F.col(vector).cast("array<double>").alias("__v"))
+    rows = rows.withColumn("__h", F.struct(F.xxhash64("__v"), F.xxhash64(F.lit(1), "__v")))
+    firsts = materialise(rows.groupBy("__h").agg(F.min("__key").alias("a"), F.first("__v").alias("v"), F.count("*").alias("copies")), "distinct-vectors")
+    edges = materialise(similar_pairs(firsts, threshold, metric, "a", "v").select("a", "b"), "similar")
+    sizes = firsts.select("a", "copies", (score("v", "v", metric) >= threshold).alias("self"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(sizes.select(F.col("a").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("near"))
+    roots = connected_components(edges).withColumnsRenamed({"node": "a", "component": "root"})
+    known = sizes.join(near, "a", "left").join(roots, "a", "left")
+    # copies that aren't similar to themselves (zero vectors) are classes of their own
+    found = known.select("a", "self", F.coalesce("root", "a").alias("root"), (F.coalesce("near", F.lit(0)) + F.when(F.col("self"), F.col("copies") - 1).otherwise(0)).alias("links"))
+    owners = firsts.select("__h", F.col("a"))
+    out = rows.select("__key", "__h").join(owners, "__h").join(found, "a")
+    alone = ~F.col("self") & (F.col("links") == 0)
+    return out.select(F.col("__key").alias(key), F.when(alone, F.col("__key")).otherwise(F.col("root")).alias("class_id"), F.col("links").cast("bigint").alias("links"))
+
+
+def similarity_matrix(df: DataFrame, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", rows: DataFrame | None = None) -> DataFrame:
+    """(i, j, score) of all ordered pairs, the diagonal's own scores included; with ``rows`` only i from there."""
+    check_metric(metric)
+    every = lambda ids, v, other, w: (np.repeat(ids, len(other)), np.tile(other, len(ids)), blocks.scores(v, w, metric).ravel())
+
+    def both(ids, v, other, w, same):
+        i, j, s = every(ids, v, other, w)
+        return (i, j, s) if same else (np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([s, s]))
+
+    own, schema, names = blocks.packed(df, key, vector), "i bigint, j bigint, score double", ["i", "j", "score"]
+    if rows is None:
+        return blocks.per_pair(own, None, both, schema, names)
+    return blocks.per_pair(blocks.packed(rows, key, vector), own, lambda *x: every(*x[:4]), schema, names)
+
+
+#: Undecided pairs that one task may finish, and rounds after which components are looked for.
+LOCAL_PAIRS, ROUNDS = 1_000_000, 6
+
+
+def _first_removed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The rows that the greedy pass removes from a graph of pairs a < b."""
+    order = np.lexsort((b, a))
+    kept_or_gone: dict[int, bool] = {}
+    for x, y in zip(a[order].tolist(), b[order].tolist()):
+        if not kept_or_gone.setdefault(x, False):
+            kept_or_gone[y] = True
+    return np.array([x for x, gone in kept_or_gone.items() if gone], np.int64)
+
+
+def _finished(edges: DataFrame, by: str | None) -> DataFrame:
+    """(__gone) of components that are decided in one task each, or of all pairs in one."""
 
-    def every(ids, v, other, w):
-        return np.repeat(ids, len(other)), np.tile(other, len(ids)), blocks.scores(v, w, metric).ravel()
+    def decide(table: pa.Table) -> pa.Table:
+        return pa.table({"__gone": _first_removed(table.column("a").to_numpy(), table.column("b").to_numpy())})
 
-    left, right = blocks.packed(df, key, vector, "a"), blocks.packed(df, key, vector, "b")
-    return blocks.per_pair(left, right, every, "i bigint, j bigint, score double", ["i", "j", "score"])
+    return edges.groupBy(by or F.lit(0).alias("__all")).applyInArrow(decide, "__gone bigint")
 
 
 def deduplicate(df: DataFrame, threshold: float, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The rows that a greedy pass in the order of keys keeps: those without a kept earlier row as similar.
 
-    The pass is the lexicographically first independent set of the graph of similar pairs, found in rounds:
-    an undecided row without an undecided or kept earlier neighbour is kept, and its later neighbours go.
+    The pass is the lexicographically first independent set of the graph of similar pairs. Up to
+    ``LOCAL_PAIRS`` of pairs one task decides. Beyond, it's found in rounds: an undecided row without an
+    undecided or kept earlier neighbour is kept, and its later neighbours go. Chains would need a round for
+    every other link, so after ``ROUNDS`` the components of what is left are decided by a task each, but for
+    those of too many pairs, which go on in rounds.
     """
     if not isfinite(threshold):
         raise ValidationError("the threshold must be finite")
     edges = materialise(similar_pairs(df, threshold, metric, key, vector).select("a", "b"), "similar")
-    gone = None
-    while True:
-        blocked = edges.select(F.col("b").alias("a")).distinct()
-        free = edges.select("a").distinct().join(blocked, "a", "left_anti")  # earlier ends that no earlier row can still remove
+    gone, number = [], 0
+    while (left := edges.count()) > LOCAL_PAIRS:
+        number += 1
+        if number % ROUNDS == 0:
+            tagged = materialise(edges.join(connected_components(edges).withColumnRenamed("node", "a"), "a"), "components")
+            sizes = tagged.groupBy("component").count()
+            tagged = materialise(tagged.join(sizes, "component"), "sized")
+            gone.append(materialise(_finished(tagged.where(F.col("count") <= LOCAL_PAIRS), "component"), "removed"))
+            edges = materialise(tagged.where(F.col("count") > LOCAL_PAIRS).select("a", "b"), "similar")
+            continue
+        free = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")  # earlier ends that no earlier row can still remove
         out = materialise(edges.join(free, "a").select(F.col("b").alias("__gone")).distinct(), "removed")
-        if not out.take(1):
-            break
-        gone = out if gone is None else gone.unionByName(out)
-        edges = edges.join(out, edges["a"] == out["__gone"], "left_anti").join(out.withColumnRenamed("__gone", "__b"), F.col("b") == F.col("__b"), "left_anti")
-        edges = materialise(edges, "similar")
-    return df if gone is None else df.join(gone, df[key] == gone["__gone"], "left_anti")
+        gone.append(out)
+        rest = edges.join(out, edges["a"] == out["__gone"], "left_anti").join(out.withColumnRenamed("__gone", "__b"), F.col("b") == F.col("__b"), "left_anti")
+        old, edges = edges, materialise(rest, "similar")
+        discard(old)
+    if left:
+        gone.append(_finished(edges, None))
+    if not gone:
+        return df
+    all_gone = gone[0]
+    for more in gone[1:]:
+        all_gone = all_gone.unionByName(more)
+    return df.join(all_gone, df[key] == all_gone["__gone"], "left_anti")
 
 
 def mmr_search(queries: DataFrame, corpus: DataFrame, k: int, lam: float = 0.5, fetch_k: int | None = None, metric: str = "cosine", query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -181,8 +244,7 @@ def fuse_ranked_lists(lists: DataFrame, k: float = 60) -> DataFrame:
     first, by list and rank.
     """
     fused = lists.groupBy("id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"), F.min(F.struct("list_id", "rank")).alias("__first"))
-    place = F.row_number().over(Window.orderBy(F.round("score", 12).desc(), "__first"))
-    return fused.withColumn("rank", place).drop("__first")
+    return ranked(fused, [F.round("score", 12).desc(), F.col("__first")]).drop("__first")
 
 
 def normalize_scores(rows: DataFrame, method: str, by: list[str], score_column: str = "score") -> DataFrame:

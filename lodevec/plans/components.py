@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.runtime import materialise
+from lodevec.runtime import discard, materialise
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,13 +25,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the edge table (a, b); the component is its least node.
 
     Logarithmically many rounds of two shuffles of the edges; each round is written to the shared folder,
-    so that the plan stays short and a lost executor costs one task. Self loops and repeated edges are
+    so that the plan stays short and a lost executor costs one task; the files of the round before go. Self loops and repeated edges are
     allowed; an empty table gives an empty result; edges with a null end are ignored.
     """
     edges = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     state = None
     for _ in range(max_rounds):
-        edges = materialise(_stars(_stars(edges, large=True), large=False), "components")
+        old, edges = edges, materialise(_stars(_stars(edges, large=True), large=False), "components")
+        discard(old)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (now.n, now.h) == state:
             break
