@@ -28,5 +28,5 @@ def queries() -> dict[str, Callable]:
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    sql = {"op4_url_filter": urlfilter.OP4_SQL, "op7_warc_revisits": warc.OP7_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op3_nearest_neighbours": ann.OP3_SQL, "op4_url_filter": urlfilter.OP4_SQL, "op7_warc_revisits": warc.OP7_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: text for name, text in sql.items() if text}
