@@ -6,7 +6,8 @@ draws random points of a strip and passes on the fingerprints whose partial dist
 small; it recurses into the next strip until lists are short, and these are compared exhaustively. The
 whole is repeated with new permutations until a pair at the radius is found with the target probability
 (computed exactly, see ``plan``). Whether a fingerprint is in a list depends on it alone, so each row
-finds all its lists without communication, and one shuffle brings the lists together.
+finds all its lists without communication, and one shuffle brings the lists together. A list that stays
+long, as those of many close fingerprints do, is cut into chunks, each pair of which is another task's work.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lodevec.llm.textbytes import Hasher, lower, mix, runs, spans
 from lodevec.plans.components import connected_components
-from lodevec.runtime import BROADCAST_BYTES, materialise, read_table
+from lodevec.runtime import broadcast_if_small, materialise, read_table
 
 BITS, STRIP = 256, 32
 WORDS = BITS // 64
@@ -30,6 +31,8 @@ RADIUS = 56
 TARGET_RECALL = 0.92
 #: Lists of about so many fingerprints are compared exhaustively.
 LIST_SIZE = 2000
+#: A list of more fingerprints is compared by pairs of chunks of about so many.
+CHUNK = 16_384
 SKETCH = 2048
 SEED = 20240229
 FP = [f"f{i}" for i in range(WORDS)]
@@ -39,15 +42,36 @@ def _signs() -> np.ndarray:
     return np.random.default_rng(SEED).choice(np.array([-1, 1], np.float32), (SKETCH, BITS))
 
 
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``spans`` of words, cut around each character of three bytes from U+3000 to U+DFFF."""
+    start, end, owner = spans(data, offsets)
+    lead = np.flatnonzero((data >= 0xE3) & (data <= 0xED))
+    if not len(lead):
+        return start, end, owner
+    inside = np.zeros(len(data) + 1, bool)
+    inside[start] = True
+    inside[lead] = True
+    inside[lead + 3] = True
+    kept = np.zeros(len(data) + 1, np.int64)
+    kept[start] += 1
+    kept[end] -= 1
+    word = np.cumsum(kept) > 0
+    cut = np.flatnonzero(inside & word)
+    stop = np.append(cut[1:], len(data))
+    last = end[np.searchsorted(end, cut, side="right")]
+    return cut, np.minimum(stop, last), np.searchsorted(offsets, cut, side="right") - 1
+
+
 def fingerprints_of(texts: pa.Array, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints as rows of uint64, whether the text has words). Case and punctuation don't count.
 
     Word pairs (the single word of a one-word text) are summed into a signed count sketch, damped by a
-    square root so that much repeated pairs don't rule, and projected by random signs.
+    square root so that much repeated pairs don't rule, and projected by random signs. A character of a
+    script that is written without spaces (Chinese, Japanese, Korean) is a word of its own.
     """
     out, has = np.zeros((len(texts), WORDS), np.uint64), np.zeros(len(texts), bool)
     for i, j, data, offsets in runs(lower(texts)):
-        start, end, owner = spans(data, offsets)
+        start, end, owner = _words(data, offsets)
         if not len(start):
             continue
         word = Hasher(data)(start, end, 3)
@@ -63,18 +87,20 @@ def fingerprints_of(texts: pa.Array, signs: np.ndarray) -> tuple[np.ndarray, np.
     return out, has
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, f0..f3) of the rows that have a key and at least one word."""
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """(row, doc_id, f0..f3) of the rows that have at least one word; ``row`` numbers them, by default as they are read."""
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = docs.select(number.alias("row"), F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
         signs = _signs()
         for b in batches:
-            fp, has = fingerprints_of(b.column(1), signs)
+            fp, has = fingerprints_of(b.column(2), signs)
             at = pa.array(np.flatnonzero(has))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), *(pa.array(fp[has, k].view(np.int64)) for k in range(WORDS))], names=["doc_id", *FP])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(fp[has, k].view(np.int64)) for k in range(WORDS))], names=["row", "doc_id", *FP])
 
-    return rows.mapInArrow(sign, "doc_id bigint, " + ", ".join(f"{x} bigint" for x in FP))
+    return rows.where("text is not null").mapInArrow(sign, f"row bigint, doc_id {kind}, " + ", ".join(f"{x} bigint" for x in FP))
 
 
 @dataclass(frozen=True)
@@ -170,30 +196,74 @@ def links(x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def near_edges(unique: DataFrame, n: int, radius: int = RADIUS, recall: float = TARGET_RECALL) -> DataFrame:
+def long_lists(rows: DataFrame, rec: Recursion, chunk: int = CHUNK) -> dict[int, int]:
+    """The number of chunks of each list that is longer than one; there are at most fingerprints * repeats / chunk."""
+
+    def tally(batches):
+        found: dict[int, int] = {}
+        for b in batches:
+            for _, _, _, lists in _memberships(b, rec):
+                own, n = np.unique(lists, return_counts=True)
+                for x, c in zip(own.tolist(), n.tolist()):
+                    found[x] = found.get(x, 0) + c
+            if len(found) > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["list", "n"])
+                found = {}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["list", "n"])
+
+    long_ = rows.mapInArrow(tally, "list bigint, n bigint").groupBy("list").agg(F.sum("n").alias("n")).where(F.col("n") > chunk)
+    return {r["list"]: -(-r.n // chunk) for r in long_.collect()}
+
+
+def _memberships(batch: pa.RecordBatch, rec: Recursion):
+    """(fids, fingerprints, rows, lists) of parts of a batch and of each repeat."""
+    for i in range(0, len(batch), 4096):
+        part = batch.slice(i, 4096)
+        fp = np.stack([part.column(k + 1).to_numpy() for k in range(WORDS)], axis=1).view(np.uint64)
+        for r in range(rec.repeats):
+            row, node = lists_of(fp, rec, r)
+            yield part.column(0).to_numpy(), fp, row, node + (np.int64(r) << np.int64(48))
+
+
+def near_edges(unique: DataFrame, n: int, radius: int = RADIUS, recall: float = TARGET_RECALL, chunk: int = CHUNK) -> DataFrame:
     """(a, b) edges, a < b, that join the fids of distinct fingerprints which the recursion finds close.
 
     Within a list the close pairs are replaced by a spanning forest of them, which has the same
-    components: nothing is dropped, however many copies a list holds.
+    components: nothing is dropped, however many copies a list holds. A list of more than ``chunk``
+    fingerprints is dealt out to chunks by their fids, and each pair of chunks (a chunk with itself
+    included) is compared by itself, so that the work of no task grows with a list.
     """
     rec = plan(n, radius, recall=recall)
+    cores = unique.sparkSession.sparkContext.defaultParallelism
+    rows = unique.select("fid", *FP).repartition(max(cores, n // 50_000))
+    long_ = long_lists(rows, rec, chunk) if n > chunk else {}
+    long_keys = np.array(sorted(long_), np.int64)
+    long_ways = np.array([long_[x] for x in long_keys.tolist()], np.int64)
 
     def spread(batches):
         for b in batches:
-            for i in range(0, len(b), 4096):
-                part = b.slice(i, 4096)
-                fid = part.column(0).to_numpy()
-                fp = np.stack([part.column(k + 1).to_numpy() for k in range(WORDS)], axis=1).view(np.uint64)
-                for r in range(rec.repeats):
-                    row, node = lists_of(fp, rec, r)
-                    yield pa.RecordBatch.from_arrays([pa.array(node + (np.int64(r) << np.int64(48))), pa.array(fid[row]), *(pa.array(fp[row, k].view(np.int64)) for k in range(WORDS))], names=["list", "fid", *FP])
+            for fid, fp, row, lists in _memberships(b, rec):
+                pair = np.zeros(len(row), np.int64)
+                side = np.zeros(len(row), np.int8)
+                if len(long_keys):
+                    at = np.minimum(np.searchsorted(long_keys, lists), len(long_keys) - 1)
+                    ways = np.where(long_keys[at] == lists, long_ways[at], 1)
+                    own = (mix(fid[row].view(np.uint64)) >> np.uint64(1)).astype(np.int64) % ways
+                    copies = np.where(ways > 1, ways, 1)
+                    last = np.cumsum(copies)
+                    again = np.repeat(np.arange(len(row)), copies)
+                    other = np.arange(len(again)) - (last - copies)[again]
+                    row, lists, own, ways = row[again], lists[again], own[again], ways[again]
+                    pair = np.minimum(own, other) * ways + np.maximum(own, other)
+                    side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(lists), pa.array(pair), pa.array(side), pa.array(fid[row]), *(pa.array(fp[row, k].view(np.int64)) for k in range(WORDS))], names=["list", "pair", "side", "fid", *FP])
 
     def compare(batches):
         def edges(parts):
-            fid, fp = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            fid, fp, side = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(fid, kind="stable")
-            fid, fp = fid[order], fp[order]
-            x, y = close_pairs(fp, radius)
+            fid, fp, side = fid[order], fp[order], side[order]
+            x, y = close_pairs(fp, radius) if not side[0] else close_across(fp, side == 1, radius)
             if not len(x):
                 return None
             label = links(x, y, len(fid))
@@ -204,61 +274,84 @@ def near_edges(unique: DataFrame, n: int, radius: int = RADIUS, recall: float =
         for b in batches:
             if not len(b):
                 continue
-            lists, fid = b.column(0).to_numpy(), b.column(1).to_numpy()
-            fp = np.stack([b.column(k + 2).to_numpy() for k in range(WORDS)], axis=1).view(np.uint64)
-            cuts = np.concatenate([[0], np.flatnonzero(lists[1:] != lists[:-1]) + 1, [len(lists)]])
+            lists, pair, side, fid = (b.column(c).to_numpy() for c in range(4))
+            fp = np.stack([b.column(k + 4).to_numpy() for k in range(WORDS)], axis=1).view(np.uint64)
+            cuts = np.concatenate([[0], np.flatnonzero((lists[1:] != lists[:-1]) | (pair[1:] != pair[:-1])) + 1, [len(lists)]])
             for s, e in zip(cuts[:-1], cuts[1:]):
-                if parts and lists[s] != open_list:
+                if parts and (lists[s], pair[s]) != open_list:
                     if sum(len(p[0]) for p in parts) > 1 and (out := edges(parts)) is not None:
                         yield out
                     parts = []
-                open_list = lists[s]
-                parts.append((fid[s:e], fp[s:e]))
+                open_list = (lists[s], pair[s])
+                parts.append((fid[s:e], fp[s:e], side[s:e]))
         if parts and sum(len(p[0]) for p in parts) > 1 and (out := edges(parts)) is not None:
             yield out
 
     kinds = ", ".join(f"{x} bigint" for x in FP)
-    cores = unique.sparkSession.sparkContext.defaultParallelism
-    rows = unique.select("fid", *FP).repartition(max(cores, n // 50_000))
-    lists = rows.mapInArrow(spread, f"list bigint, fid bigint, {kinds}")
-    lists = lists.repartition(max(3 * cores, n * rec.repeats // 200_000), "list").sortWithinPartitions("list")
+    lists = rows.mapInArrow(spread, f"list bigint, pair bigint, side byte, fid bigint, {kinds}")
+    lists = lists.repartition(max(3 * cores, n * rec.repeats // 200_000), "list", "pair").sortWithinPartitions("list", "pair")
     return lists.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = TARGET_RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, duplicate_of): every document that repeats another one, and the one of its group that stays.
+def close_across(fp: np.ndarray, first: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of one fingerprint of the first chunk and one of the other within the radius."""
+    left, right, a_rows, b_rows = [], [], np.flatnonzero(first), np.flatnonzero(~first)
+    other = fp[b_rows]
+    for i in range(0, len(a_rows), block):
+        a = fp[a_rows[i : i + block]]
+        d = np.bitwise_count(a[:, None, 0] ^ other[None, :, 0]) + np.bitwise_count(a[:, None, 1] ^ other[None, :, 1])
+        x, y = np.nonzero(d <= radius)
+        rest = d[x, y].astype(np.int64)
+        for k in range(2, WORDS):
+            rest += np.bitwise_count(a[x, k] ^ other[y, k])
+        left.append(a_rows[i + x[rest <= radius]])
+        right.append(b_rows[y[rest <= radius]])
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+def _groups(own: DataFrame, radius: int, recall: float) -> DataFrame:
+    """(row, doc_id, keeper, kept_id): the rows with words and the row of their group that stays, from fingerprints.
 
-    Groups are the connected components of documents with equal or close fingerprints; the least key of
-    a group stays. Documents whose words are the same but for case and punctuation are equal. Null,
-    empty and wordless texts and null keys are in no group. Rows that share a key count as one document
-    (its copies are left to ``drop_duplicates``). An empty table gives an empty result; other columns
-    are neither read nor returned.
+    The row of the least key stays, null keys last, then the first as they are numbered.
+    """
+    unique = materialise(own.groupBy(*FP).agg(F.min("row").alias("fid")), "distinct-fingerprints")
+    edges = materialise(near_edges(unique, unique.count(), radius, recall), "near-edges")
+    roots = connected_components(edges)
+    named = unique.join(roots.withColumnRenamed("node", "fid"), "fid", "left").select(*FP, F.coalesce("component", "fid").alias("root"))
+    found = materialise(own.join(named, FP).select("row", "doc_id", "root"), "rooted")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
+    keepers = found.groupBy("root").agg(first.alias("k"), F.count("*").alias("n")).where("n > 1")
+    return found.join(keepers, "root").select("row", "doc_id", F.col("k.row").alias("keeper"), F.col("k.doc_id").alias("kept_id"))
+
+
+def duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = TARGET_RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, duplicate_of): every row that repeats another one, and the key of the row of its group that stays.
+
+    Groups are the connected components of rows with equal or close fingerprints; of each the row with the
+    least key stays (a null key comes last; of equal keys one row stays). Keys may be of any type that can
+    be ordered, keep it, and needn't be there or differ: rows are told apart by a number of their own.
+    Texts whose words are the same but for case and punctuation are equal, and whole texts count, however
+    long. Null, empty and wordless texts are in no group. An empty table gives an empty result; other
+    columns, of any name, are neither read nor returned.
     """
     own = materialise(fingerprints(docs, text, key), "fingerprints")
-    unique = materialise(own.groupBy(*FP).agg(F.min("doc_id").alias("fid")), "distinct-fingerprints")
-    n = unique.count()
-    roots = connected_components(materialise(near_edges(unique, n, radius, recall), "near-edges"))
-    found = own.join(unique, FP).join(roots.withColumnRenamed("node", "fid"), "fid", "left")
-    found = found.groupBy("doc_id").agg(F.min(F.coalesce("component", "fid")).alias("duplicate_of"))
-    return found.where("doc_id <> duplicate_of")
+    return _groups(own, radius, recall).where("row <> keeper").select("doc_id", F.col("kept_id").alias("duplicate_of"))
 
 
-def drop_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents without those that ``duplicates`` finds, with all their columns: one of each group stays.
+def drop_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id", recall: float = TARGET_RECALL) -> DataFrame:
+    """The rows without those that ``duplicates`` finds, with all their columns: one of each group stays.
 
-    Of rows that share a key, one stays. The keys to drop are broadcast only if they
-    are few by count; beyond that the join is a shuffled one.
+    Rows are numbered and written first, and go by their number, so that rows which share a key but not a
+    text are judged by themselves. The numbers to drop are broadcast only if they are few by count;
+    beyond that the join is a shuffled one.
     """
-    drop = materialise(duplicates(docs, radius, text=text, key=key).select(F.col("doc_id").alias("__drop")), "dropped")
-    few = drop.count() * 16 <= BROADCAST_BYTES
-    kept = docs.join(F.broadcast(drop) if few else drop, docs[key] == drop["__drop"], "left_anti")
-    again = materialise(docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__again")).count().where("count > 1").select("__again"), "repeated-keys")
-    repeats = again.count()
-    if not repeats:
-        return kept
-    side = F.broadcast(again) if repeats * 16 <= BROADCAST_BYTES else again
-    once = kept.join(side, kept[key] == again["__again"], "left_semi").dropDuplicates([key])
-    return kept.join(side, kept[key] == again["__again"], "left_anti").unionByName(once)
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    own = materialise(fingerprints(numbered, text, key, row), "fingerprints")
+    drop = materialise(_groups(own, radius, recall).where("row <> keeper").select(F.col("row").alias(row)), "dropped")
+    return numbered.join(broadcast_if_small(drop, drop.count(), 16), row, "left_anti").drop(row)
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

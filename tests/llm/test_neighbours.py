@@ -89,13 +89,47 @@ def test_duplicates_are_those_of_brute_force(spark, monkeypatch):
 
 
 def test_duplicates_of_odd_documents(spark, odd_docs):
-    assert simhash.duplicates(odd_docs).count() == 0
     kept = simhash.drop_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 1, 2, 3, 4, 5, 6, 7, 8, 9]  # the repeated row goes
+    assert [tuple(r) for r in simhash.duplicates(odd_docs).collect()] == [(1, 1)]
     assert simhash.duplicates(odd_docs.limit(0)).count() == 0 and simhash.drop_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_rows_go_by_themselves(spark):
+    """Rows of one key with different texts are judged apart; null and text keys work."""
+    a, b = prose(1, 80), prose(2, 80)
+    docs = spark.createDataFrame([("k", a), ("k", b), ("m", a), (None, b), (None, a), ("z", prose(3, 80))], "doc_id string, text string")
+    assert sorted((str(r.doc_id), r.duplicate_of) for r in simhash.duplicates(docs).collect()) == [("None", "k"), ("None", "k"), ("m", "k")]
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_duplicates(docs).collect()) == sorted([("k", a), ("k", b), ("z", prose(3, 80))])
+
+
+def test_long_lists_are_compared_by_chunks(spark, monkeypatch):
+    """Chunks give the groups that a list in one piece gives."""
+    base = prose(0, 150)
+    texts = [changed(base, i, 0.05) for i in range(60)] + [prose(i, 150) for i in range(100, 130)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    whole = {tuple(r) for r in simhash.duplicates(docs).collect()}
+    monkeypatch.setattr(simhash.near_edges, "__defaults__", (simhash.RADIUS, simhash.TARGET_RECALL, 8))
+    assert {tuple(r) for r in simhash.duplicates(docs).collect()} == whole and len(whole) > 40
+    fp = np.random.default_rng(1).integers(0, 4, (70, simhash.WORDS), dtype=np.uint64)
+    first = np.random.default_rng(2).random(70) < 0.5
+    x, y = simhash.close_across(fp, first, 2, block=7)
+    d = distances(fp)
+    assert set(zip(x.tolist(), y.tolist())) == {(i, j) for i in range(70) for j in range(70) if first[i] and not first[j] and d[i, j] <= 2}
+
+
+def test_texts_without_spaces_have_words():
+    r = random.Random(1)
+    signs = [chr(0x4E00 + r.randrange(3000)) for _ in range(300)]
+    near = [*signs[:100], "新", *signs[101:]]
+    data = "".join(signs).encode() + b" word"
+    start, end, _ = simhash._words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert [data[a:b].decode() for a, b in zip(start, end)] == [*signs, "word"]
+    d = distances(fps(["".join(signs), "".join(near), "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(300))]))
+    assert d[0, 1] <= simhash.RADIUS < d[0, 2]
+
+
 def test_close_pairs_are_exhaustive():
     fp = np.random.default_rng(1).integers(0, 4, (90, simhash.WORDS), dtype=np.uint64)
     x, y = simhash.close_pairs(fp, 2, block=7)
@@ -125,6 +159,21 @@ def test_neighbours_have_the_recall(spark, monkeypatch, clustered):
     assert all(g["distance"].is_monotonic_increasing for _, g in got.sort_values("rank").groupby("query_id"))
 
 
+def test_pieces_and_strips_lose_no_neighbour(spark, monkeypatch):
+    """Equal vectors, which no cut can part, and queries of several strips: every list is full and exact."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 40)
+    monkeypatch.setattr(ann, "LEAF_ROWS", 16)
+    monkeypatch.setattr(ann, "STRIP_QUERIES", 25)
+    r = np.random.default_rng(4)
+    v = np.concatenate([np.ones((200, 8)), r.normal(size=(300, 8)) * 5])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>")
+    got = ann.knn(df, 5, confidence=0.999, where="vec_id % 3 = 0").toPandas()
+    _, want = brute_knn(v.astype(np.float32).astype(float), 5)
+    assert len(got) == 5 * 167 and not got.duplicated(["query_id", "neighbour_id"]).any()
+    for q, g in got.sort_values(["query_id", "rank"]).groupby("query_id"):
+        assert np.allclose(g["distance"], want[q], rtol=0.02, atol=1e-6)
+
+
 def test_stopping_rule():
     for k, p in ((4, 0.5), (16, 0.95), (16, 0.05)):
         draws = np.random.default_rng(k).chisquare(k, 200_000)
@@ -138,6 +187,8 @@ def test_neighbours_of_odd_vectors(spark):
     got = {(r.query_id, r.rank): r.neighbour_id for r in ann.knn(df, 5).collect()}
     assert got == {(1, 1): 2, (1, 2): 3, (2, 1): 1, (2, 2): 3, (3, 1): 1, (3, 2): 2}
     assert ann.knn(df.limit(0)).count() == 0
+    named = spark.createDataFrame([("a", [0.0]), ("b", [1.0]), ("c", [3.0])], "vec_id string, embedding array<double>")
+    assert {(r.query_id, r.rank, r.neighbour_id) for r in ann.knn(named, 1, where="vec_id <> 'b'").collect()} == {("a", 1, "b"), ("c", 1, "b")}
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "vec_id bigint, embedding array<float>")
     assert {(r.query_id, r.rank): r.neighbour_id for r in ann.knn(same, 2).collect()}[(4, 1)] in range(4)
     with pytest.raises(ValueError):
