@@ -21,7 +21,7 @@ from lodevec.runtime import materialise, read_table
 
 #: Tokens of a training sequence.
 CAPACITY = 2048
-#: Pieces of one length that are ranked in one window partition; longer ones are spread over several.
+#: Pieces of one length that are ranked in one window partition, about; more are cut by ranges of their hashes.
 RANK_ROWS = 200_000
 
 
@@ -116,36 +116,41 @@ def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Packs rows (doc_id, n_tokens), which should be materialised; see ``pack``."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
+    lengths = lengths.withColumn("__row", F.monotonically_increasing_id())
     pieces = lengths.where("n_tokens > 0").select(
-        "doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_tokens - 1) div {capacity}"))).alias("piece")
+        "doc_id", "__row", "n_tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n_tokens - 1) div {capacity}"))).alias("piece")
     )
     pieces = pieces.select(
-        "doc_id", "piece", (F.col("piece") * capacity).alias("piece_start"), F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - F.col("piece") * capacity).cast("int").alias("piece_len")
+        "doc_id", "__row", "piece", (F.col("piece") * capacity).alias("piece_start"), F.least(F.lit(capacity).cast("bigint"), F.col("n_tokens") - F.col("piece") * capacity).cast("int").alias("piece_len")
     )
     histogram = {r.piece_len: r["n"] for r in pieces.groupBy("piece_len").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan_bins(histogram, capacity)
 
-    spread = np.ones(capacity + 1, np.int64)
+    # pieces of one length are ranked by hash, then key: ranges of the hash keep that order in any number of parts
+    own = F.when(F.col("doc_id").isNull(), F.col("__row")).otherwise(F.lit(-1))  # null keys are alike but for their rows
+    pieces = pieces.withColumn("hash", F.xxhash64("doc_id", "piece", own)).drop("__row")
+    depth = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
-        spread[length] = -(-n // RANK_ROWS)
-    base = np.concatenate([[0], np.cumsum(spread)])
+        depth[length] = max(0, int(np.ceil(np.log2(n / RANK_ROWS)))) if n else 0
+    base = np.concatenate([[0], np.cumsum(1 << depth)])
     part = F.lit(0).cast("bigint")
-    if hot := {k: int(spread[k]) for k in histogram if spread[k] > 1}:
-        ways = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])
-        part = F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce(ways[F.col("piece_len")], F.lit(1)).cast("bigint"))
+    if hot := {k: int(depth[k]) for k in histogram if depth[k]}:
+        bits = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])[F.col("piece_len")]
+        half = F.call_function("shiftleft", F.lit(1).cast("bigint"), (bits - 1).cast("int"))
+        part = F.when(bits.isNotNull(), F.call_function("shiftright", F.col("hash"), (64 - bits).cast("int")) + half).otherwise(part)
     pieces = pieces.withColumn("part", part)
     before = np.zeros(base[-1], np.int64)
     if hot:
         for r in pieces.where(F.col("piece_len").isin(*hot)).groupBy("piece_len", "part").agg(F.count("*").alias("n")).collect():
             before[base[r.piece_len] + r.part] = r["n"]
-        for k, ways_k in hot.items():
-            own = before[base[k] : base[k] + ways_k]
-            before[base[k] : base[k] + ways_k] = np.cumsum(own) - own
+        for k, bits_k in hot.items():
+            at = slice(base[k], base[k] + (1 << bits_k))
+            before[at] = np.cumsum(before[at]) - before[at]
     keys = (runs[:, 0] << 40) + runs[:, 1]
 
     def place(batches):
         for b in batches:
-            length, in_part, number = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 4, 5))
+            length, in_part, number = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
             rank = before[base[length] + in_part] + number - 1
             at = np.searchsorted(keys, (length << 40) + rank, side="right") - 1
             _, first_rank, first_bin, each, offset = runs[at].T
@@ -155,7 +160,7 @@ def pack_lengths(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 names=["doc_id", "piece", "piece_start", "piece_len", "bin_id", "bin_offset"],
             )
 
-    order = Window.partitionBy("piece_len", "part").orderBy("doc_id", "piece")
+    order = Window.partitionBy("piece_len", "part").orderBy("hash", "doc_id", "piece")
     ranked = pieces.withColumn("number", F.row_number().over(order).cast("bigint"))
     kind = lengths.schema["doc_id"].dataType.simpleString()
     return ranked.mapInArrow(place, f"doc_id {kind}, piece bigint, piece_start bigint, piece_len int, bin_id bigint, bin_offset int")
@@ -168,9 +173,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, model: str = MODEL, text: st
     packing for language models. One row for each piece: doc_id, piece (from 0), piece_start (token of
     the document), piece_len, bin_id (from 0, without gaps) and bin_offset (token of the bin).
 
-    Null or empty texts have no token and so no row. Repeated rows are packed once each; ties are
-    ranked by key and piece; null keys are packed too. An empty table gives an empty result. Columns
-    other than key and text are neither read nor returned, whatever their names.
+    Null or empty texts have no token and so no row; texts of any length are packed whole. Repeated rows
+    are packed once each; pieces of one length are ranked by the hash of key and piece, then by these, at
+    every size, so that where a document goes depends on the documents alone; null keys are packed too,
+    but which of them goes where isn't defined. An empty table gives an empty result. Columns other than
+    key and text are neither read nor returned, whatever their names.
     """
     return pack_lengths(materialise(token_counts(docs, model, text, key), "lengths"), capacity)
 

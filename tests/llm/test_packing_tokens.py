@@ -63,6 +63,17 @@ def test_tree_finds_the_tightest():
             there[want] -= 1
 
 
+def test_placement_is_the_same_at_every_size(spark, monkeypatch):
+    """However many parts the ranks of a length are cut into, each piece goes where it went."""
+    lengths = spark.createDataFrame([(i, 5 + i % 3) for i in range(200)], "doc_id bigint, n_tokens bigint")
+    want = None
+    for rows in (10**6, 50, 7, 1):
+        monkeypatch.setattr(packing, "RANK_ROWS", rows)
+        got = sorted(map(tuple, packing.pack_lengths(lengths, 16).collect()))
+        assert want in (None, got) and len(got) == 200
+        want = got
+
+
 def test_packing_of_tables(spark, odd_docs, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 2)  # ranks of one length over several partitions
     docs = spark.createDataFrame([(i, prose(i % 7, 1 + i % 50)) for i in range(60)], "doc_id bigint, text string").unionByName(odd_docs.select("doc_id", "text"))
