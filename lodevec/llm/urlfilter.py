@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from lodevec.llm.textbytes import mix
 from lodevec.runtime import BROADCAST_BYTES, materialise, read_table
 
-#: Keys of a segment, about.
-SEGMENT_KEYS = 200_000
+#: Keys of a segment, about; rows that one copy of a segment's cascade answers, about.
+SEGMENT_KEYS, SEGMENT_ROWS = 200_000, 1_000_000
 SALT = 0x51ED270B
 
 
@@ -88,6 +88,7 @@ def ask(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
 
 
 def _levels(table: pa.Table | pa.RecordBatch) -> list[Level]:
+    """The levels of one segment in order."""
     found = sorted(zip(*(table.column(c).to_pylist() for c in ("level", "n_bits", "n_hashes", "bits"))))
     return [Level(m, k, np.frombuffer(b, np.uint8)) for _, m, k, b in found]
 
@@ -140,8 +141,9 @@ def _asker(parts: dict[int, list[Level]], segments: int):
 def mark(rows: DataFrame, keys: dict[str, tuple[Column, Cascade]]) -> DataFrame:
     """``rows`` with a boolean column for each entry: whether its key is in its cascade. A null key isn't.
 
-    The cascades travel with the function as long as they are small (their size is checked); a larger one
-    is met segment by segment instead, which shuffles the rows' keys but never gathers the cascade.
+    The cascades travel with the function as long as they are small (their size is checked). Rows go to
+    the segments of a larger one instead and are answered as they stream past: neither way has a join, and
+    both give the same answers.
     """
     for name, (key, cascade) in keys.items():
         if cascade.size > BROADCAST_BYTES:
@@ -156,17 +158,47 @@ def mark(rows: DataFrame, keys: dict[str, tuple[Column, Cascade]]) -> DataFrame:
 
 
 def _mark_by_segment(rows: DataFrame, name: str, key: Column, cascade: Cascade) -> DataFrame:
+    """Rows are sent to the segment of their key, a hot segment's ones to several copies of it; the segment's levels come first."""
     h1, h2 = hashes(key)
-    keys = rows.select(h1.alias("h1"), h2.alias("h2")).distinct().withColumn("segment", F.pmod("h1", F.lit(cascade.segments)))
-
-    def segment(own, levels):
-        a, b = (own.column(c).to_numpy() for c in ("h1", "h2"))
-        on = ask(_levels(levels), a.view(np.uint64), b.view(np.uint64))
-        return pa.table({"__h1": a[on], "__h2": b[on]})
-
-    hit = keys.groupBy("segment").cogroup(cascade.table.groupBy("segment")).applyInArrow(segment, "__h1 bigint, __h2 bigint")
-    joined = rows.join(hit, (h1 == F.col("__h1")) & (h2 == F.col("__h2")), "left")
-    return joined.withColumn(name, key.isNotNull() & F.col("__h1").isNotNull()).drop("__h1", "__h2")
+    tagged = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), key.isNotNull().alias("named"), h1.alias("h1"), h2.alias("h2"))
+    tagged = tagged.withColumn("segment", F.pmod("h1", F.lit(cascade.segments)))
+    counts = {r.segment: r["count"] for r in tagged.groupBy("segment").count().collect()}
+    ways = np.array([max(1, -(-counts.get(s, 0) // SEGMENT_ROWS)) for s in range(cascade.segments)], np.int64)
+    first = np.cumsum(ways) - ways
+
+    @F.arrow_udf("bigint")
+    def group(segment: pa.Array, number: pa.Array) -> pa.Array:
+        s = segment.to_numpy()
+        return pa.array(first[s] + number.to_numpy() % ways[s])
+
+    @F.arrow_udf("array<bigint>")
+    def groups(segment: pa.Array) -> pa.Array:
+        return pa.array([list(range(first[s], first[s] + ways[s])) for s in segment.to_pylist()], pa.list_(pa.int64()))
+
+    kind = tagged.schema["row"].dataType.simpleString()
+    own = tagged.select(group("segment", F.monotonically_increasing_id()).alias("at"), F.lit(1).alias("side"), "row", "named", "h1", "h2", *[F.lit(None).cast(t).alias(c) for c, t in (("level", "int"), ("n_bits", "bigint"), ("n_hashes", "int"), ("bits", "binary"))])
+    levels = cascade.table.select(F.explode(groups("segment")).alias("at"), F.lit(0).alias("side"), F.lit(None).cast(kind).alias("row"), F.lit(False).alias("named"), F.lit(0).cast("bigint").alias("h1"), F.lit(0).cast("bigint").alias("h2"), "level", "n_bits", "n_hashes", "bits")
+    parts = min(int(ways.sum()), 20_000)
+    both = own.unionByName(levels).repartitionById(parts, F.pmod("at", F.lit(parts)).cast("int")).sortWithinPartitions("at", "side")
+
+    def answer(batches):
+        now, held = None, None
+        for b in batches:
+            at, side = b.column(0).to_numpy(), b.column(1).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]) | (side[1:] != side[:-1])) + 1, [len(at)]])
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if i == j:
+                    continue
+                if at[i] != now:
+                    now, held = at[i], []
+                part = b.slice(i, j - i)
+                if side[i] == 0:
+                    held += _levels(part)
+                    continue
+                on = ask(held, *(part.column(c).to_numpy().view(np.uint64) for c in (4, 5)))
+                yield pa.RecordBatch.from_arrays([part.column(2), pa.array(on & part.column(3).to_numpy(zero_copy_only=False))], names=["row", "on"])
+
+    return both.mapInArrow(answer, f"row {kind}, on boolean").select("row.*", F.col("on").alias(name))
 
 
 def filter_pages(pages: DataFrame, listed_hosts: DataFrame, listed_urls: DataFrame, url: str = "url", key: str = "page_id") -> DataFrame:
