@@ -6,16 +6,20 @@ validators must agree: the entity tag by weak comparison if the revisit has one,
 modification. The stored headers are then updated with those of the revisit, but for the ones that
 describe the body that the revisit doesn't have.
 
-The as-of join is one window over URL and time (one shuffle of the records without their bodies, sorted,
-so that memory doesn't grow with a URL's captures); bodies are joined to the resolved records at the end.
+The as-of join is one window over URL and time (one shuffle of full responses and revisits without their
+bodies, sorted, so that memory doesn't grow with a URL's captures); a response keeps its own body without a
+shuffle, and bodies are joined to the resolved revisits alone.
 """
 
 from __future__ import annotations
 
-import gzip
+import io
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,55 +69,101 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
     Only strictly earlier responses count; of several at the same time the one of the greatest id. Header
     names are compared in lower case and null headers are none. Repeated record_ids each give a row, with
-    the body of the greatest of equal ids; rows with a null record_id are sources of none. An empty table
-    gives an empty result; other columns of any name are neither read nor returned.
+    their own bodies; a revisit takes the greatest body of its source's id. Rows with a null record_id are
+    sources of none. Bodies may be text or binary, of any length, and are empty or null as they were stored.
+    An empty table gives an empty result; other columns of any name are neither read nor returned.
     """
-    r = records.select("record_id", "kind", "url", canonical_url(F.col("url")).alias("canonical"), "captured", "status", "profile", _lower_keys(F.col("headers")).alias("headers"))
+    names = ("record_id", "kind", "url", "canonical", "captured")
+    r = records.select("record_id", "kind", "url", canonical_url(F.col("url")).alias("canonical"), "captured", "status", "profile", _lower_keys(F.col("headers")).alias("headers"), "body")
     r = r.withColumn("is_full", F.coalesce((F.col("kind") == "response") & (F.col("status") == 200) & F.col("canonical").isNotNull() & F.col("captured").isNotNull() & F.col("record_id").isNotNull(), F.lit(False)))
     r = r.withColumn("is_revisit", F.coalesce((F.col("kind") == "revisit") & (F.lower("profile").contains(PROFILE)), F.lit(False)))
-    source = F.when(F.col("is_full"), F.struct(F.col("record_id").alias("id"), F.col("captured").alias("at"), F.col("headers")))
-    order = Window.partitionBy("canonical").orderBy(F.col("captured").asc_nulls_first(), F.col("is_full"), "record_id")
-    r = r.withColumn("source", F.last(source, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    placed = F.col("canonical").isNotNull() & F.col("captured").isNotNull()
+    # what needs no source is told by the record alone
+    alone = r.where(~F.col("is_revisit") | ~placed)
+    full = F.col("is_full")
+    outcome = F.when(full, "full").when(F.col("is_revisit"), "missing").otherwise("other")
+    alone = alone.select(*names, outcome.alias("outcome"), F.when(full, F.col("record_id")).alias("source_id"), F.when(full, F.col("captured")).alias("source_captured"), "headers", F.when(full, F.col("body")).alias("body"))
+
+    source = F.when(full, F.struct(F.col("record_id").alias("id"), F.col("captured").alias("at"), F.col("headers")))
+    order = Window.partitionBy("canonical").orderBy("captured", "is_full", "record_id")
+    asked = r.where(full | (F.col("is_revisit") & placed)).drop("body").withColumn("source", F.last(source, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    asked = asked.where("is_revisit")
     src = F.col("source")
-    there = src.isNotNull() & F.col("captured").isNotNull() & F.col("canonical").isNotNull()
     stored, own = src["headers"], F.col("headers")
     agree = F.when(_tag(own).isNotNull(), _tag(own) == _tag(stored)).otherwise(own["last-modified"] == stored["last-modified"])
-    outcome = F.when(F.col("is_full"), "full").when(~F.col("is_revisit"), "other").when(~there, "missing").when(F.coalesce(agree, F.lit(False)), "resolved").otherwise("mismatch")
-    r = r.withColumn("outcome", outcome)
+    asked = asked.withColumn("outcome", F.when(src.isNull(), "missing").when(F.coalesce(agree, F.lit(False)), "resolved").otherwise("mismatch"))
     fresh = F.map_filter(own, lambda k, v: ~k.isin(*KEPT))
     merged = F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(fresh), k)), fresh)
-    r = r.select(
-        "record_id", "kind", "url", "canonical", "captured", "outcome",
-        F.when(F.col("outcome") == "full", F.col("record_id")).when(F.col("outcome") == "resolved", src["id"]).alias("source_id"),
-        F.when(F.col("outcome") == "full", F.col("captured")).when(F.col("outcome") == "resolved", src["at"]).alias("source_captured"),
-        F.when(F.col("outcome") == "resolved", merged).otherwise(own).alias("headers"),
-    )
-    full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull()
-    bodies = records.where(full).groupBy(F.col("record_id").alias("__source")).agg(F.max("body").alias("body"))
-    return r.join(bodies, r["source_id"] == bodies["__source"], "left").drop("__source")
-
-
-def parse_records(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file, plain or of one gzip member a record (or one for all)."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+    done = F.col("outcome") == "resolved"
+    asked = asked.select(*names, "outcome", F.when(done, src["id"]).alias("source_id"), F.when(done, src["at"]).alias("source_captured"), F.when(done, merged).otherwise(own).alias("headers"))
+    bodies = r.where(full).groupBy(F.col("record_id").alias("__source")).agg(F.max("body").alias("body"))
+    found = asked.join(bodies, asked["source_id"] == bodies["__source"], "left").drop("__source")
+    return alone.unionByName(found)
+
+
+class _Members(io.RawIOBase):
+    """The bytes of a file of gzip members one after another, or of a plain one; what is damaged or cut off ends it."""
+
+    def __init__(self, file):
+        self.file, self.left, self.member = file, b"", None
+        self.head = file.read(2)
+        self.packed = self.head == b"\x1f\x8b"
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.left:
+            raw, self.head = self.head + self.file.read(1 << 16), b""
+            if not raw and not (self.member and self.member.unused_data):
+                return 0
+            if not self.packed:
+                self.left = raw
+                continue
+            if self.member is None or self.member.eof:
+                raw = (self.member.unused_data if self.member else b"") + raw
+                raw = raw.lstrip(b"\0")  # fill between members
+                if not raw:
+                    continue
+                self.member = zlib.decompressobj(31)
+            try:
+                self.left = self.member.decompress(raw)
+            except zlib.error:
+                return 0
+        n = min(len(into), len(self.left))
+        into[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
+def parse_records(data) -> Iterator[dict]:
+    """The records of a WARC file (bytes or a binary file object), plain or gzipped by record or as a whole.
+
+    The file is read as a stream; a record at a time is held. What isn't a record is skipped up to the next
+    line that begins one: a record without a length, or whose length isn't a number, is left out, and so is
+    one that the file's end cuts off. Bodies are bytes as they are stored, empty ones included.
+    """
+    file = io.BufferedReader(_Members(io.BytesIO(data) if isinstance(data, bytes) else data), 1 << 16)
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        lines = []
+        while (line := file.readline()) and line.strip():
+            lines.append(line.rstrip(b"\r\n"))
+        head = _headers(lines)
+        size = head.get("content-length", "")
+        if not size.isdecimal():
+            continue
+        block = file.read(int(size))
+        if len(block) < int(size):
             return
-        head = _headers(data[at:end].split(b"\r\n")[1:])
-        size = int(head.get("content-length", "0") or 0)
-        block = data[end + 4 : end + 4 + size]
-        at = end + 4 + size
         status, http, body = None, {}, block
         if head.get("content-type", "").startswith("application/http"):
             top, _, body = block.partition(b"\r\n\r\n")
-            lines = top.split(b"\r\n")
-            parts = lines[0].split()
-            status = int(parts[1]) if len(parts) > 1 and parts[1].isdigit() else None
-            http = _headers(lines[1:])
-        yield {"record_id": head.get("warc-record-id"), "kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": status, "profile": head.get("warc-profile"), "headers": list(http.items()), "body": body.decode("utf-8", "replace")}
+            first, *rest = top.split(b"\r\n")
+            parts = first.split()
+            status = int(parts[1]) if len(parts) > 1 and re.fullmatch(rb"[0-9]{1,9}", parts[1]) else None
+            http = _headers(rest)
+        yield {"record_id": head.get("warc-record-id"), "kind": head.get("warc-type"), "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "status": status, "profile": head.get("warc-profile"), "headers": list(http.items()), "body": body}
 
 
 def _headers(lines: list[bytes]) -> dict[str, str]:
@@ -126,23 +176,31 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files (*.warc, *.warc.gz) as ``resolve_revisits`` takes them; a file is one task's."""
-    kind = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("profile", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.string())])
+    """The records of WARC files (*.warc, *.warc.gz) as ``resolve_revisits`` takes them, with binary bodies.
+
+    Only the files' names go through the plan: each is one task's, which opens it where it lies (any file
+    system that Arrow knows) and reads it as a stream, so that neither a file nor what it unpacks to is held.
+    """
+    kind = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("url", pa.string()), ("date", pa.string()), ("status", pa.int32()), ("profile", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
 
     def parse(batches):
         for b in batches:
-            for data in b.column(0):
-                rows = []
-                for record in parse_records(data.as_py()):
-                    rows.append(record)
-                    if len(rows) == 256:
+            for name in b.column(0).to_pylist():
+                system, at = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                with system.open_input_stream(at, compression=None) as file:
+                    rows, held = [], 0
+                    for record in parse_records(file):
+                        rows.append(record)
+                        held += len(record["body"])
+                        if len(rows) == 256 or held > 8 << 20:
+                            yield pa.RecordBatch.from_pylist(rows, kind)
+                            rows, held = [], 0
+                    if rows:
                         yield pa.RecordBatch.from_pylist(rows, kind)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, kind)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    rows = files.mapInArrow(parse, "record_id string, kind string, url string, date string, status int, profile string, headers map<string,string>, body string")
+    files = spark.read.format("binaryFile").load(path).select("path")
+    files = files.repartition(max(1, min(files.count(), 20_000)))
+    rows = files.mapInArrow(parse, "record_id string, kind string, url string, date string, status int, profile string, headers map<string,string>, body binary")
     return rows.withColumn("captured", F.try_to_timestamp("date")).drop("date")
 
 

@@ -122,7 +122,37 @@ def test_files_are_read(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (data[: data.index(b"WARC/1.1\r\nWARC-Type: revisit")], data[data.index(b"WARC/1.1\r\nWARC-Type: revisit") :])))
     for name in ("a.warc", "b.warc.gz"):
         got = {r.kind: r for r in warc.resolve_revisits(warc.read_warc(spark, str(tmp_path / name))).collect()}
-        assert got["revisit"].outcome == "resolved" and got["revisit"].body == "<p>WARC/1.1 inside</p>" and got["revisit"].headers == {"etag": '"x"', "content-type": "text/html", "date": "today"}
+        assert got["revisit"].outcome == "resolved" and got["revisit"].body == b"<p>WARC/1.1 inside</p>" and got["revisit"].headers == {"etag": '"x"', "content-type": "text/html", "date": "today"}
         assert got["response"].captured == datetime(2024, 1, 1)
     (tmp_path / "c.warc").write_bytes(b"")
     assert warc.read_warc(spark, str(tmp_path / "c.warc")).count() == 0
+
+
+def test_damaged_files_give_their_whole_records(tmp_path, spark):
+    page = b"HTTP/1.1 200 OK\r\n\r\n\xff\xd8 not text"
+    one, two = (record("response", f"http://e.com/{i}", f"2024-01-0{i}T00:00:00Z", page) for i in (1, 2))
+    bad = one.replace(f"Content-Length: {len(page)}".encode(), b"Content-Length: many")
+    assert bad != one
+    bodies = lambda data: [(r["url"], r["body"]) for r in warc.parse_records(data)]
+    first, second = ("http://e.com/1", b"\xff\xd8 not text"), ("http://e.com/2", b"\xff\xd8 not text")
+    assert bodies(one + two) == [first, second] and bodies(bad + two) == [second] and bodies(one + two[:-30]) == [first]
+    assert bodies(b"noise\n" + one + b"more noise\r\n" + two) == [first, second] and bodies(b"") == []
+    packed = gzip.compress(one) + gzip.compress(two)
+    assert bodies(packed) == [first, second] and bodies(packed[:-20]) == [first] and bodies(gzip.compress(one + two)) == [first, second]
+    assert bodies(gzip.compress(one) + b"\x00" * 7 + gzip.compress(two)) == [first, second] and bodies(gzip.compress(one) + b"junk" * 9) == [first]
+    (tmp_path / "x.warc.gz").write_bytes(packed[:-20])
+    (tmp_path / "y.warc").write_bytes(two)
+    assert sorted(bytes(r.body) for r in warc.read_warc(spark, str(tmp_path)).collect()) == [b"\xff\xd8 not text"] * 2
+
+
+def test_hot_segments_have_several_copies(spark, monkeypatch):
+    """One host with most of the rows, by segments: every row has the answer that the small way gives."""
+    rows = [(i, f"http://{'hot' if i % 3 else f'h{i}'}.example/{i}") for i in range(300)] + [(1, "http://hot.example/1")] * 3
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    hosts = spark.createDataFrame([("hot.example",), ("h3.example",)], "key string")
+    urls = spark.createDataFrame([("hot.example/7",)], "key string")
+    small = sorted(map(tuple, urlfilter.filter_pages(pages, hosts, urls).collect()))
+    for name, value in (("BROADCAST_BYTES", 0), ("SEGMENT_KEYS", 20), ("SEGMENT_ROWS", 10)):
+        monkeypatch.setattr(urlfilter, name, value)
+    plan = urlfilter.filter_pages(pages, hosts, urls)
+    assert sorted(map(tuple, plan.collect())) == small and "Join" not in plan._jdf.queryExecution().executedPlan().toString()
