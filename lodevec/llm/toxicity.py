@@ -1,6 +1,6 @@
 """Toxicity: non-negative positive-unlabelled learning of a linear numpy classifier.
 
-Only confirmed toxic examples and unlabelled text are used. The risk is that of Kiryo et al. (2017):
+Only confirmed toxic examples and text whose label isn't looked at are used. The risk is that of Kiryo et al. (2017):
 ``prior * R_P(+1) + max(0, R_U(-1) - prior * R_P(-1))``, with a gradient step on the negative part
 alone where it falls below zero. A text's features are its words, their beginnings and the 5-byte
 n-grams within them, hashed; all of them count, however long the text is.
@@ -23,8 +23,10 @@ BUCKETS = 1 << BUCKET_BITS
 GRAM = 5
 #: Bytes of the beginnings of words that are features, for languages that build words from parts.
 BEGINNINGS = (6, 8)
-#: Bounds of the sample the classifier is fitted on: confirmed toxic and unlabelled documents.
+#: Bounds of the sample of labelled rows that the classifier is fitted on: confirmed toxic ones, and ones taken without
+#: their labels; and bytes of features that may come to the driver.
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 6000
+MAX_FEATURE_BYTES = 192 << 20
 SEED = 42
 #: Standard errors by which a feature's shares must differ to be used.
 SIGNIFICANT = 5.0
@@ -140,34 +142,35 @@ def nnpu(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[n
     return ToxicModel(weights, bias, prior)
 
 
-def _below(share: float):
+def _below(share: float, seed: int = SEED):
     """About that share of the keys, by their hash."""
-    return F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+    return F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
 
 
-def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> ToxicModel:
-    """Fits on about ``max_positive`` confirmed toxic and ``max_unlabelled`` unlabelled documents at most.
+def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, text: str = "text", key: str = "doc_id", toxic: str = "toxic") -> ToxicModel:
+    """Fits on a bounded sample of the rows of ``labels`` (key, toxic): about ``max_positive`` confirmed toxic documents, and
+    about ``max_unlabelled`` documents of all its rows, whose labels are not looked at.
 
-    Unlabelled are documents without a row in labels; if there are none, all documents serve. ``prior``
-    is the share of toxic documents in unlabelled text; by default the share of toxic rows among the
-    labelled ones. Null keys and null labels are ignored. Without examples nothing is toxic.
+    The second part stands for unlabelled text: it's drawn from the population whose share of toxic rows is
+    ``prior`` (by default the share among the labels). A key with contradicting labels counts as toxic; rows
+    that repeat a key count once, but documents that share one are all examples. Null keys, labels and texts,
+    and texts without words, are ignored; texts are read whole, however long, and longer ones make the sample
+    smaller where its features would exceed ``MAX_FEATURE_BYTES``. Without examples nothing is toxic.
     """
     none = ToxicModel(np.zeros(BUCKETS), -500.0, 0.0)
-    labels = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    docs = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    labels = labels.where(F.col(key).isNotNull() & F.col(toxic).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
     seen = labels.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
     if not seen.n or not seen.bad:
         return none
     prior = seen.bad / seen.n if prior is None else prior
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    total = docs.count()
-    ids = docs.select("doc_id")
-    good = labels.where("toxic = 1").where(_below(max_positive / seen.bad)).select("doc_id").distinct()
-    rest_share = max(1, total - seen.n)
-    other = ids.where(_below(max_unlabelled / rest_share)).join(labels, "doc_id", "left_anti").distinct()
-    if not other.take(1):
-        other = ids.where(_below(max_unlabelled / max(1, total))).distinct()
-    # both sides are bounded by the parameters, so the broadcast doesn't grow with the corpus
-    sample = good.withColumn("y", F.lit(1)).unionByName(other.withColumn("y", F.lit(0)))
+    # the sample is bounded by the parameters, so that what is broadcast and what comes to the driver don't grow with the corpus
+    good = labels.where("toxic = 1").where(_below(max_positive / seen.bad)).select("doc_id", F.lit(1).alias("y"))
+    other = labels.where(_below(max_unlabelled / seen.n, SEED + 1)).select("doc_id", F.lit(0).alias("y"))
+    sample = docs.join(F.broadcast(good.unionByName(other)), "doc_id").select("text", "y")
+    size = sample.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0] * 8  # a byte of text gives about so many of features
+    if size > MAX_FEATURE_BYTES:
+        sample = sample.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(MAX_FEATURE_BYTES / size * (1 << 30)))
 
     def rows(batches):
         for b in batches:
@@ -185,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_posi
             if y:
                 yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(buckets, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["y", "buckets", "vals"])
 
-    found = docs.join(F.broadcast(sample), "doc_id").select("text", "y").mapInArrow(rows, "y int, buckets array<int>, vals array<float>").toArrow()
+    found = sample.mapInArrow(rows, "y int, buckets array<int>, vals array<float>").toArrow()
     ys = found.column("y").to_numpy() if len(found) else np.zeros(0)
     parsed = []
     for name in ("buckets", "vals"):
@@ -212,15 +215,17 @@ def _probability(model: ToxicModel):
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each document: doc_id, p_toxic, toxic (p_toxic >= threshold).
 
-    Null, empty and wordless texts have p_toxic 0. Repeated rows give repeated rows, null keys stay
-    null, an empty table gives an empty result, and other columns are neither read nor returned.
+    Null, empty and wordless texts have p_toxic 0. Whole texts are scored, however long; p_toxic equal to
+    the threshold is toxic. Repeated rows give repeated rows, null keys stay null, an empty table gives an empty result, and other columns are neither read nor returned.
     """
     rows = docs.select(F.col(key).alias("doc_id"), _probability(model)(F.col(text)).alias("p_toxic"))
     return rows.withColumn("toxic", F.col("p_toxic") >= threshold)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel, threshold: float = 0.5, text: str = "text") -> DataFrame:
-    """The documents that ``score`` doesn't call toxic, with all their columns, without a shuffle."""
+    """The documents that ``score`` doesn't call toxic, with all their columns, without a shuffle.
+
+    Null, empty and wordless texts stay, as do repeated rows and rows with null keys."""
     return docs.where(_probability(model)(F.col(text)) < threshold)
 
 
