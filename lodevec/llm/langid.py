@@ -3,49 +3,70 @@
 The counts are taken over *all* labelled rows by Spark (languages x buckets, a size that does not
 depend on the corpus); the matrix of log-probabilities travels with the scoring function, and a batch
 is scored in numpy by gathering matrix rows and summing them over each text's n-grams. N-grams are of
-bytes, so that any script works.
+characters (code points) of any script.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.textbytes import LETTER, lower, runs
+from lodevec.llm.textbytes import lower, runs
 from lodevec.runtime import read_table
 
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
 LENGTHS = (2, 3, 4)
 UNKNOWN = "und"
-_AS_SPACE = np.where(LETTER, np.arange(256), 32).astype(np.uint8)
 
 
-def ngrams(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For each length the bucket of the n-gram at every byte; BUCKETS where there is none.
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point below U+10000 is a letter or a mark of one; at the end whether others are."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(1 << 16)] + [False])
 
-    Bytes other than letters count as a space, which may only be the first or the last of an n-gram.
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts of a run and the offsets into them; bytes that aren't UTF-8 give replacement characters."""
+    try:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        return points, before[offsets]
+    except UnicodeDecodeError:
+        texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])]
+        return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
+def ngrams(points: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """For each length the bucket of the n-gram at every character; BUCKETS where there is none.
+
+    Characters other than letters count as a space, which may only be the first or the last of an n-gram.
     """
-    n_bytes = len(data)
-    d = np.zeros(n_bytes + 4, np.uint32)
-    d[:n_bytes] = _AS_SPACE[data]
-    letters = np.zeros(n_bytes + 5, np.int32)
-    np.cumsum(d != 32, out=letters[1:])
+    n_points = len(points)
+    letter = _letters()[np.minimum(points, 1 << 16)] | ((points >= 0x20000) & (points < 0x40000))  # the planes of ideographs
+    d = np.zeros(n_points + 4, np.uint32)
+    d[:n_points] = np.where(letter, points, 32)
+    letters = np.zeros(n_points + 5, np.int32)
+    letters[1 : n_points + 1] = np.cumsum(letter)
+    letters[n_points + 1 :] = letters[n_points]
     end = np.repeat(offsets[1:], np.diff(offsets))
-    at = np.arange(n_bytes)
-    out, value = [], d[:n_bytes].copy()
+    at = np.arange(n_points)
+    out, value = [], d[:n_points].copy()
     for n in range(2, max(LENGTHS) + 1):
-        value = value | (d[n - 1 : n_bytes + n - 1] << np.uint32(8 * (n - 1)))
+        value = value * np.uint32(0x01000193) + d[n - 1 : n_points + n - 1]
         if n not in LENGTHS:
             continue
         inner = letters[at + n - 1] - letters[at + 1] == n - 2
         some = letters[at + n] > letters[at]
-        bucket = ((value * np.uint32(0x9E3779B1) ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
-        out.append(np.where(inner & some & (at + n <= end), bucket, BUCKETS))
+        mixed = (value ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
+        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0xC2B2AE35)
+        out.append(np.where(inner & some & (at + n <= end), (mixed >> np.uint32(32 - BUCKET_BITS)).astype(np.int64), BUCKETS))
     return out
 
 
@@ -62,11 +83,12 @@ class LanguageModel:
         k = len(self.languages)
         total, count = np.zeros((len(texts), k)), np.zeros(len(texts), np.int64)
         for i, j, data, offsets in runs(lower(texts)):
+            points, offsets = code_points(data, offsets)
             full = np.flatnonzero(np.diff(offsets))
             if not len(full):
                 continue
             starts = offsets[:-1][full]
-            for buckets in ngrams(data, offsets):
+            for buckets in ngrams(points, offsets):
                 total[i + full] += np.add.reduceat(self.log_probs[buckets], starts, axis=0)
                 count[i + full] += np.add.reduceat((buckets != BUCKETS).astype(np.int64), starts)
         return total + self.log_prior, count
@@ -106,9 +128,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: floa
             for x, n in zip(names, np.bincount(own, minlength=len(names))):
                 texts_of[x] = texts_of.get(x, 0) + int(n)
             for i, j, data, offsets in runs(lower(b.column(1))):
-                of_byte = np.repeat(own[i:j].astype(np.int64), np.diff(offsets))
-                for buckets in ngrams(data, offsets):
-                    both = np.bincount(of_byte * (BUCKETS + 1) + buckets, minlength=len(names) * (BUCKETS + 1)).reshape(len(names), -1)
+                points, offsets = code_points(data, offsets)
+                of_point = np.repeat(own[i:j].astype(np.int64), np.diff(offsets))
+                for buckets in ngrams(points, offsets):
+                    both = np.bincount(of_point * (BUCKETS + 1) + buckets, minlength=len(names) * (BUCKETS + 1)).reshape(len(names), -1)
                     for x, c in zip(names, both):
                         counts[x] += c
         for x, c in counts.items():
@@ -143,7 +166,8 @@ def identify(docs: DataFrame, model: LanguageModel, accept: tuple[str, ...] | No
 
     ``keep``: the language is one of ``accept`` (default: all that the model knows) and its posterior at
     least ``min_posterior``. Null, empty and letterless texts and texts unlike every known language get
-    the language "und" and aren't kept. Repeated rows give repeated rows, null keys stay null, an empty
+    the language "und" and aren't kept. Of languages with equal scores the first by name is taken. Whole
+    texts count, however long. Repeated rows give repeated rows, null keys stay null, an empty
     table gives an empty result, and other columns are neither read nor returned.
     """
     good = list(accept if accept is not None else model.languages)
@@ -152,7 +176,9 @@ def identify(docs: DataFrame, model: LanguageModel, accept: tuple[str, ...] | No
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, accept: tuple[str, ...] | None = None, min_posterior: float = 0.5, text: str = "text") -> DataFrame:
-    """The documents that ``identify`` keeps, with all their columns, in one pass without a shuffle."""
+    """The documents that ``identify`` keeps, with all their columns, in one pass without a shuffle.
+
+    Null, empty and letterless texts go; repeated rows and rows with null keys are judged by their texts."""
     good = list(accept if accept is not None else model.languages)
     v = _verdict(model)(F.col(text))
     return docs.where(v["lang"].isin(good) & (v["posterior"] >= min_posterior))
