@@ -124,7 +124,7 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rules: int = len(RULES),
 
     It begins with rules that wrongly accuse one good document in a hundred, for which they are made; a
     looser beginning ends with one kind of junk as the bad class and calls the others noise. Each rate has
-    a Beta prior of a few documents, which keeps it off 0 and 1 and the classes in place.
+    a Beta prior worth 100 good or 10 bad documents, which keeps it off 0 and 1 and the classes in place.
     """
     model = VoteModel(0.9, np.full(rules, 0.99), np.full(rules, 0.3))
     if not counts.sum():
@@ -159,8 +159,8 @@ def vote_patterns(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 def assess(docs: DataFrame, threshold: float = 0.5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each document: doc_id, votes (one digit a rule, to the base 3), p_quality, keep.
 
-    Null and empty texts have one vote, that of the rule on the number of words, against them. Repeated
-    rows give repeated rows and count each, null keys stay null, an empty table gives an empty result,
+    Null and empty texts have one vote, that of the rule on the number of words, against them. Whole texts
+    are judged, however long; a posterior that equals the threshold keeps. Repeated rows give repeated rows and count each, null keys stay null, an empty table gives an empty result,
     and other columns are neither read nor returned. Texts are read once; the fit and the look-up use
     the written votes.
     """

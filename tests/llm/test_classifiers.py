@@ -1,9 +1,14 @@
+import re
+import unicodedata
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodevec.llm import langid, quality, toxicity
+from lodevec.llm.textbytes import Hasher
 
 from .conftest import prose
 
@@ -46,6 +51,72 @@ def test_training_lowers_the_non_negative_risk():
     assert right >= 0.93
 
 
+def brute_features(text):
+    """How often each feature occurs, as (seed, bytes), and the number of words; without the operator's code."""
+    words = re.findall(rb"[A-Za-z0-9\x80-\xff]+", text.lower().encode())
+    grams = [(2, w[i : i + 5]) for w in words for i in range(len(w) - 4)]
+    return Counter([(1, w) for w in words] + grams + [(3, w[:n]) for n in (6, 8) for w in words if len(w) > n]), len(words)
+
+
+def bucket_of(seed, data):
+    return int(Hasher(np.frombuffer(data, np.uint8))(np.array([0]), np.array([len(data)]), seed)[0] >> np.uint64(64 - toxicity.BUCKET_BITS))
+
+
+def test_scores_by_brute_force(spark):
+    """p_toxic of whole documents from their features, counted one by one."""
+    texts = [prose(i, 30 + i) + " Übergrößenträger größtmögliches " * (i % 3) for i in range(20)] + ["", None, "--", "a"]
+    r = np.random.default_rng(3)
+    model = toxicity.ToxicModel(np.where(r.random(toxicity.BUCKETS) < 0.5, 0.0, r.normal(size=toxicity.BUCKETS)), -0.3, 0.1)
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    for row, text in zip(sorted(got), texts):
+        counts, words = brute_features(text or "")
+        by_bucket = Counter()
+        for f, n in counts.items():
+            by_bucket[bucket_of(*f)] += n
+        z = model.bias + sum(model.weights[b] * np.sqrt(n) for b, n in by_bucket.items()) / np.sqrt(max(words, 1))
+        assert row.p_toxic == pytest.approx(1 / (1 + np.exp(-z)) if words else 0.0, abs=1e-4) and row.toxic == (row.p_toxic >= 0.5)
+
+
+def slow_nnpu(x_p, x_u, prior, epochs, batches=4, rate=0.05, decay=1e-4):
+    """The same estimator on dense rows: features chosen and scaled, then steps of Adam on the risk, row by row."""
+    rng = np.random.default_rng(toxicity.SEED)
+    in_p, in_u, n_p, n_u = (x_p > 0).sum(0), (x_u > 0).sum(0), len(x_p), len(x_u)
+    share = (in_p + in_u) / (n_p + n_u)
+    error = np.sqrt(np.maximum(share * (1 - share), 1 / (n_p + n_u) ** 2) * (1 / n_p + 1 / n_u))
+    scale = np.where(np.abs(in_p / n_p - in_u / n_u) < toxicity.SIGNIFICANT * error, 0, np.log((in_p + 1) / (n_p + 1)) - np.log((in_u + 1) / (n_u + 1)))
+    x = np.hstack([np.vstack([x_p, x_u]) * scale, np.ones((n_p + n_u, 1))])
+    w, m, v, mean, kept, step = *np.zeros((4, x.shape[1])), 0, 0
+    for epoch in range(epochs):
+        parts = list(zip(np.array_split(rng.permutation(n_p), batches), np.array_split(n_p + rng.permutation(n_u), batches)))
+        for p, u in parts:
+            toxic = lambda i: 1 / (1 + np.exp(-x[i] @ w))
+            loss_clean = lambda rows: sum(np.log1p(np.exp(x[i] @ w)) for i in rows) / len(rows)
+            negative = loss_clean(u) - prior * loss_clean(p)
+            g_u, g_p = sum(toxic(i) * x[i] for i in u) / len(u), sum(toxic(i) * x[i] for i in p) / len(p)
+            plus = sum((toxic(i) - 1) * x[i] for i in p) / len(p)
+            g = prior * plus + g_u - prior * g_p if negative >= 0 else prior * g_p - g_u
+            g = g + decay * np.append(w[:-1], 0) / (len(p) + len(u))
+            step += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            if epoch >= epochs // 2:
+                mean, kept = mean + w, kept + 1
+    w = mean / kept
+    out = w[:-1] * scale
+    return np.where(np.abs(out) < toxicity.PRUNE * np.abs(out).max(), 0, out), w[-1]
+
+
+def test_fit_by_brute_force():
+    r = np.random.default_rng(1)
+    toxic = r.random(80) < 0.25
+    draw = lambda kind: (r.random((len(kind), 12)) < np.where(kind[:, None], [0.9, 0.7, 0.6, *[0.3] * 9], [0.05, 0.1, 0.3, *[0.3] * 9])) * r.integers(1, 4, (len(kind), 12)).astype(float)
+    x_p, x_u = draw(np.ones(40, bool)), draw(toxic)
+    sparse = lambda x: [(np.flatnonzero(row).astype(np.int32), row[row > 0].astype(np.float32)) for row in x]
+    model = toxicity.nnpu(sparse(x_p), sparse(x_u), 0.25, epochs=12)
+    weights, bias = slow_nnpu(x_p, x_u, 0.25, 12)
+    assert model.weights[:12] == pytest.approx(weights, abs=1e-6) and model.bias == pytest.approx(bias, abs=1e-6) and not model.weights[12:].any() and weights.any()
+
+
 def test_features_are_words_and_grams_of_the_whole_text():
     text = "abcdef " * 20_000 + "zebra"
     data = np.frombuffer(text.encode(), np.uint8)
@@ -61,6 +132,9 @@ def test_toxicity_of_odd_documents(spark, odd_docs):
     assert len(got) == odd_docs.count() and all(r.p_toxic == 0 for r in got if r.doc_id in (2, 3, 4))
     kept = toxicity.drop_toxic(odd_docs, model)
     assert kept.columns == odd_docs.columns and {2, 3, 4} <= {r.doc_id for r in kept.collect()}
+    named = odd_docs.withColumnsRenamed({"doc_id": "k", "text": "body"})
+    other = labels.unionByName(labels).withColumnsRenamed({"doc_id": "k", "toxic": "bad"})
+    assert (toxicity.fit(named, other, text="body", key="k", toxic="bad").weights == model.weights).all()
     for none in (toxicity.fit(odd_docs, labels.limit(0)), toxicity.fit(odd_docs.limit(0), labels)):
         assert toxicity.drop_toxic(odd_docs, none).count() == odd_docs.count()
     assert toxicity.score(odd_docs.limit(0), model).count() == 0
@@ -76,28 +150,26 @@ def test_held_out_languages(labelled):
     assert n > 2000 and right >= 0.97 and kept >= 0.97
 
 
+def brute_grams(text):
+    """The n-grams of a text's characters as strings, without the operator's code."""
+    t = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    return [(n, g) for n in (2, 3, 4) for i in range(len(t) - n + 1) if " " not in (g := t[i : i + n])[1:-1] and g.strip()]
+
+
 def brute_bayes(examples, text, smoothing=0.1):
     """Log-likelihoods, gram by gram."""
-    def grams(t):
-        data = np.frombuffer(t.lower().encode(), np.uint8)
-        return [int(b) for col in langid.ngrams(data, np.array([0, len(data)])) for b in col if b != langid.BUCKETS]
-
     out = {}
     for name in {x for x, _ in examples}:
-        counts = {}
-        for x, t in examples:
-            if x == name:
-                for g in grams(t):
-                    counts[g] = counts.get(g, 0) + 1
+        counts = Counter(g for x, t in examples if x == name for g in brute_grams(t))
         total = sum(counts.values()) + smoothing * langid.BUCKETS
-        out[name] = np.log(sum(x == name for x, _ in examples) / len(examples)) + sum(np.log((counts.get(g, 0) + smoothing) / total) for g in grams(text))
+        out[name] = np.log(sum(x == name for x, _ in examples) / len(examples)) + sum(np.log((counts[g] + smoothing) / total) for g in brute_grams(text))
     return out
 
 
 def test_model_is_naive_bayes(spark):
-    examples = [("en", "the house and the river"), ("en", "a stone bridge"), ("de", "das haus und der fluss"), ("fr", "la maison et la rivière")]
+    examples = [("en", "the house and the river"), ("en", "a stone bridge"), ("de", "das haus und der fluss"), ("fr", "la maison et la rivière"), ("ru", "дом и река, мост 12"), ("ja", "日本語の 本"), ("hi", "नदी का पुल")]
     model = langid.fit(spark.createDataFrame(examples, "lang string, text string"))
-    texts = ["the bridge", "das Haus", "rivière la", "zq"]
+    texts = ["the bridge", "das Haus", "rivière la", "zq", "Река и МОСТ", "日本", "पुल 😀 का"]
     scores, _ = model.scores(pa.array(texts))
     for t, row in zip(texts, scores):
         want = brute_bayes(examples, t)
@@ -105,10 +177,12 @@ def test_model_is_naive_bayes(spark):
 
 
 def test_grams_stay_within_words_and_texts():
-    joined = b"abcab"
-    alone = [langid.ngrams(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in (b"abc", b"ab")]
-    both = langid.ngrams(np.frombuffer(joined, np.uint8), np.array([0, 3, 5]))
+    points = lambda *t: langid.code_points(np.frombuffer("".join(t).encode(), np.uint8), np.cumsum([0, *(len(x.encode()) for x in t)]))
+    alone = [langid.ngrams(*points(t)) for t in ("дом", "ab")]
+    both = langid.ngrams(*points("дом", "ab"))
     assert all((np.concatenate([x, y]) == z).all() for x, y, z in zip(*alone, both))
+    found, at = langid.code_points(np.frombuffer(b"a\xffb" + "é".encode(), np.uint8), np.array([0, 3, 5]))
+    assert "".join(map(chr, found)) == "a\ufffdbé" and at.tolist() == [0, 3, 4]
 
 
 def test_languages_of_odd_documents(spark, odd_docs):
@@ -173,6 +247,46 @@ def test_features_by_plain_counting():
     assert got["top_word_share"] == 4 / 8 and got["repeat_share"] == 2 / 8 and got["word_bytes"] == pytest.approx((3 * 6 + 1 + 8) / 8)
 
 
+def brute_votes(text):
+    """The ten votes of a text, rule by rule, by plain counting over its bytes; without the operator's code."""
+    raw, small = (text or "").encode(), (text or "").lower().encode()
+    find = lambda data: re.findall(rb"[A-Za-z0-9\x80-\xff]+", data)
+    words = find(raw)
+    if not words:
+        return [0] * 9 + [1]
+    n, lows = len(words), find(small)
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    large = [c for c in (text or "") if "A" <= c <= "Z" or "À" <= c <= "Þ"]
+    latin = [c for c in raw if letter(c) and c < 128] + [c for a, c in zip(raw, raw[1:]) if a == 0xC3 and c >= 128]
+    pairs = list(zip(lows, lows[1:]))
+    grade = lambda x, good, bad: 2 if good[0] <= x <= good[1] else 1 if bad[0] <= x <= bad[1] else 0
+    inf, few = float("inf"), n < 20
+    visible = [c for c in raw if c not in b"\t\n\x0b\x0c\r "]
+    return [
+        grade(sum(map(len, words)) / n, (2.5, 12), (20, inf)),
+        grade(sum(c in b"#$%&*<>=@[]^_`{}~\\/+|" for c in raw) / n, (0, 0.05), (0.25, inf)),
+        grade(len(large) / max(1, len(latin)), (0, 0.25), (0.5, inf)),
+        0 if few else grade(max(Counter(lows).values()) / n, (0, 0.15), (0.3, inf)),
+        0 if few else grade(sum(a == b for a, b in pairs) / n, (0, 0.05), (0.2, inf)),
+        grade(raw.count(b"|") / n, (0, 0.02), (0.2, inf)),
+        grade(raw.count(b"!") / n, (0, 0.05), (0.3, inf)),
+        grade(sum(map(letter, raw)) / len(visible), (0.85, 1), (0, 0.8)),
+        0 if few else grade(1 - len(set(pairs)) / len(pairs), (0, 0.2), (0.4, 1)),
+        grade(n, (20, inf), (0, 0)),
+    ]
+
+
+def test_votes_by_brute_force(spark):
+    """The votes of every document of a test table and of odd ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = ["", " \n", "ÄÖÜ SHOUT!!! NOW!!! " * 9, "a | b | c | d " * 8, "buy now " * 40, "x" * 500, "1 2 3 4 # $ % ^ & *", "ÀÉ ß ÿ Ø ×"]
+    docs = docs.unionByName(spark.createDataFrame([(10**9 + i, t) for i, t in enumerate([*odd, None])], "doc_id bigint, text string"))
+    got = {r.doc_id: r.votes for r in quality.vote_patterns(docs).collect()}
+    for r in docs.collect():
+        assert [got[r.doc_id] // 3**k % 3 for k in range(10)] == brute_votes(r.text), r.text[:80]
+    assert len(set(got.values())) > 10
+
+
 def test_quality_of_odd_documents(spark, odd_docs):
     got = quality.assess(odd_docs).collect()
     assert len(got) == odd_docs.count() and all(0 <= r.p_quality <= 1 for r in got)
