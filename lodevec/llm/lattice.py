@@ -12,7 +12,8 @@ are grouped by word, and a higher-order ``aggregate`` folds them into the word's
   are found from the piece table alone (``overtaking``), and words with such an edge are folded with one
   pass for each merge.
 
-The words' ids are then gathered for the whole texts.
+Words that don't fit the fold of merges are first cut between characters that follow each other in no piece,
+which no merge can cross. The words' ids are then gathered for the whole texts.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from lodevec.llm.pieces import MODEL, slices
 from lodevec.llm.textbytes import RUN_BYTES, Hasher, buffers
 from lodevec.runtime import materialise, read_table
 
-#: Words of more characters don't fit the fold's bit mask and are encoded by the library, exactly too.
+#: Words of more characters don't fit the bit mask of the fold of merges. They are cut where no piece holds two characters
+#: side by side; what is still longer (one sign over and over) is encoded by the library, exactly too.
 MASK_CHARS = 61
 #: A dictionary of words of at most so many bytes travels to the workers; a larger one is joined by a shuffle.
 DICTIONARY_BYTES = 192 << 20
@@ -63,6 +65,8 @@ class PieceTable:
             raise ValueError("only models with byte pieces are known here")
         self.text = [bytes([int(p[3:5], 16)]) if t == kind.BYTE else p.encode() if t == kind.NORMAL else b"" for p, _, t in self.all]
         self.longest = max(map(len, self.scores))
+        #: Pairs of characters that follow each other in some piece.
+        self.pairs = np.array(sorted({(ord(a) << 32) | ord(b) for p in self.scores for a, b in zip(p, p[1:])}), np.int64)
         #: ASCII bytes below the space that no longer piece holds: words are cut around them.
         self.cuts = [b for b in range(32) if not any(chr(b) in p for p in self.scores if len(p) > 1)]
 
@@ -103,13 +107,13 @@ class PieceTable:
                     out.add(p)
         return out
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """(piece, rank, score, careful) of the pieces of two or more characters (all for a unigram model)."""
-        risky = self.overtaking() if self.bpe else set()
+    def frame(self, spark: SparkSession, merges: bool = True) -> DataFrame:
+        """(piece, rank, score, careful) of the pieces of two or more characters (of all for Viterbi)."""
+        risky = self.overtaking() if merges else set()
         order = sorted(self.scores, key=lambda p: (-self.scores[p], self.ids[p]))
         scores = sorted(set(self.scores.values()), reverse=True)
         rank = {s: i for i, s in enumerate(scores)}
-        rows = [(p, rank[self.scores[p]], float(self.scores[p]), p in risky) for p in order if len(p) > 1 or not self.bpe]
+        rows = [(p, rank[self.scores[p]], float(self.scores[p]), p in risky) for p in order if len(p) > 1 or not merges]
         return spark.createDataFrame(rows, "piece string, rank bigint, score double, careful boolean")
 
 
@@ -137,6 +141,29 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, cuts: list[int]) -> tuple[
     return start, np.append(start[1:], len(data)), np.searchsorted(offsets, start, side="right") - 1
 
 
+def segments(data: np.ndarray, offsets: np.ndarray, t: PieceTable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_spans``, with long words cut between characters that no piece holds side by side."""
+    start, end, owner = word_spans(data, offsets, t.cuts)
+    long_ = np.flatnonzero(end - start > MASK_CHARS)
+    if not len(long_):
+        return start, end, owner
+    cuts = []
+    for i in long_.tolist():
+        word = data[start[i] : end[i]]
+        points = np.frombuffer(word.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        first = np.flatnonzero((word & 0xC0) != 0x80)
+        if len(points) <= MASK_CHARS or len(first) != len(points):
+            continue
+        pair = (points[:-1] << 32) | points[1:]
+        at = np.minimum(np.searchsorted(t.pairs, pair), len(t.pairs) - 1)
+        cuts.append(start[i] + first[1:][t.pairs[at] != pair])
+    if not cuts:
+        return start, end, owner
+    new = np.concatenate(cuts)
+    start = np.sort(np.concatenate([start, new]))
+    return start, np.append(start[1:], len(data)), np.searchsorted(offsets, start, side="right") - 1
+
+
 def spaced(texts: pa.Array) -> pa.Array:
     """Each text with a space before it and spaces for space marks; a null or empty text is empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -163,11 +190,11 @@ def distinct_words(docs: DataFrame, model: str = MODEL, text: str = "text") -> D
     """(h, word) of the corpus's words, each once; h is the word's hash."""
 
     def words(batches):
-        cuts = table(model).cuts
+        t = table(model)
         seen = np.zeros(1 << _SEEN_BITS, np.uint64)
         for b in batches:
             for _, _, data, offsets in _spaced_runs(b.column(0)):
-                start, end, _ = word_spans(data, offsets, cuts)
+                start, end, _ = segments(data, offsets, t)
                 h, first = np.unique(Hasher(data)(start, end, 11), return_index=True)
                 place = (h & np.uint64(len(seen) - 1)).astype(np.int64)
                 new = seen[place] != h
@@ -221,19 +248,19 @@ def fold_merges(lattice: DataFrame) -> DataFrame:
 
 
 def viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown: float) -> DataFrame:
-    """(word, score, ends): the segmentation of each word with the greatest sum of scores (a unigram model).
+    """(h, word, score, ends): the segmentation of each word with the greatest sum of scores (a unigram model).
 
-    ``words`` has a column word; a character that is no piece has the score ``unknown``. Edges are folded
+    ``words`` has the columns h, any number of the word's own, and word; a character that is no piece has the score ``unknown``. Edges are folded
     by their end; the state holds for each position the best score and the ends of the pieces so far.
     Of equal sums the longest last piece wins.
     """
-    cut = words.select("word", F.char_length("word").alias("n")).where("n > 0")
-    cut = cut.select("word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
-    cut = cut.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("len"))
+    cut = words.select("h", "word", F.char_length("word").alias("n")).where("n > 0")
+    cut = cut.select("h", "word", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    cut = cut.select("h", "word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("len"))
     cut = cut.withColumn("piece", F.expr("substring(word, s + 1, len)"))
     hit = cut.join(F.broadcast(pieces.select("piece", "score")), "piece", "left").where("score is not null or len = 1")
     edge = F.struct((F.col("s") + F.col("len")).alias("end"), F.col("s").alias("start"), F.coalesce("score", F.lit(unknown)).alias("score"))
-    grouped = hit.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    grouped = hit.groupBy("h", "word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     kind = "array<struct<score:double,ends:array<int>>>"
 
     def step(best: Column, e: Column) -> Column:
@@ -245,7 +272,7 @@ def viterbi(words: DataFrame, pieces: DataFrame, longest: int, unknown: float) -
 
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("ends"))).cast(kind)
     last = F.element_at(F.aggregate("edges", first, step), -1)
-    return grouped.select("word", last["score"].alias("score"), last["ends"].alias("ends"))
+    return grouped.select("h", "word", last["score"].alias("score"), last["ends"].alias("ends"))
 
 
 class _Ids:
@@ -258,15 +285,23 @@ class _Ids:
         order = np.argsort(h)
         self.h, self.ids, self.byte_ids = h[order], np.array(list(t.ids.values()), np.int32)[order], t.byte_ids
 
-    def __call__(self, words: pa.Array, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids one after another, number of each word)."""
+    def __call__(self, words: pa.Array, mask: np.ndarray | None = None, ends: pa.ListArray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of each word) of words with the bits of their pieces' beginnings, or with their pieces' ends."""
         data, offsets = buffers(words)
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         first = (data & 0xC0) != 0x80
         owner = np.repeat(np.arange(len(words)), np.diff(offsets))
         number = np.cumsum(first) - 1
-        number -= np.append(number, 0)[offsets[:-1]][owner]
-        start = np.flatnonzero(first & ((mask[owner] >> number) & 1).astype(bool))
+        if ends is None:
+            number -= np.append(number, 0)[offsets[:-1]][owner]
+            start = np.flatnonzero(first & ((mask[owner] >> number) & 1).astype(bool))
+        else:
+            n = pc.list_value_length(ends).to_numpy(zero_copy_only=False)
+            chars, base = np.append(np.flatnonzero(first), len(data)), number[offsets[:-1]]
+            # a piece begins where the one before ends, the first one where its word does
+            begin = np.concatenate([[0], ends.flatten().to_numpy()[:-1]])
+            begin[np.cumsum(n) - n] = 0
+            start = chars[np.repeat(base, n) + begin]
         end = np.append(start[1:], len(data))
         h = Hasher(data)(start, end, 13)
         at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
@@ -289,14 +324,26 @@ def _list_array(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def dictionary(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFrame:
-    """(h, word, ids) of every distinct word of the corpus."""
+def dictionary(docs: DataFrame, model: str = MODEL, text: str = "text", fold: str | None = None) -> DataFrame:
+    """(h, word, ids) of every distinct word of the corpus; ``fold`` is "merges" or "viterbi", by default what the model is made for."""
     t = table(model)
-    if not t.bpe:
-        raise ValueError("whole texts are encoded with BPE models; use viterbi for a unigram model's words")
+    fold = fold or ("merges" if t.bpe else "viterbi")
+    if fold not in ("merges", "viterbi"):
+        raise ValueError(f"unknown fold {fold!r}")
     words = materialise(distinct_words(docs, model, text), "words")
     # a word becomes dozens of rows, so its tasks are cut by words rather than by bytes
     words = words.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, -(-words.count() // TASK_WORDS)), "h", "word")
+    schema = "h bigint, word string, ids array<int>"
+    if fold == "viterbi":
+        best = viterbi(words, t.frame(docs.sparkSession, False), t.longest, min(t.scores.values()) - 10)
+
+        def of_ends(batches):
+            find = _ids(model)
+            for b in batches:
+                out, n = find(b.column(1), ends=b.column(2))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _list_array(out, n)], names=["h", "word", "ids"])
+
+        return materialise(best.select("h", "word", "ends").mapInArrow(of_ends, schema), "dictionary")
     short, long_ = F.char_length("word") <= MASK_CHARS, F.char_length("word") > MASK_CHARS
     folded = fold_merges(edges(words.where(short), t.frame(docs.sparkSession), t.longest))
 
@@ -313,7 +360,6 @@ def dictionary(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataF
             out = [sp.encode(w[1:]) if w[0] == " " else sp.encode("\n" + w)[newline:] for w in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["h", "word", "ids"])
 
-    schema = "h bigint, word string, ids array<int>"
     return materialise(folded.mapInArrow(ids, schema).unionByName(words.where(long_).mapInArrow(library, schema)), "dictionary")
 
 
@@ -323,6 +369,8 @@ def _decoded(t: PieceTable):
 
     def decode(ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The texts of lists of ids: their pieces without the space before the text."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes)):
+            raise ValueError(f"ids must be from 0 to {len(sizes) - 1}")
         size = sizes[ids]
         stop = np.cumsum(size)
         data = flat[np.repeat(first[ids] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
@@ -347,12 +395,18 @@ def _decoder(path: str):
 
 def _flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
+    flat, offsets = column.flatten(), np.concatenate([[0], np.cumsum(counts)])
+    if flat.null_count:
+        there = flat.is_valid().to_numpy(zero_copy_only=False)
+        offsets = np.concatenate([[0], np.cumsum(there)])[offsets]
+        flat = flat.drop_null()
+    return flat.to_numpy(zero_copy_only=False), offsets
 
 
 def decode(encoded: DataFrame, model: str = MODEL, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """(doc_id, decoded) of rows with an array of ids. Null or empty arrays give empty texts, bytes that
-    aren't UTF-8 give replacement characters, and an id outside the vocabulary is an error."""
+    """(doc_id, decoded) of rows with an array of ids. Null or empty arrays give empty texts, nulls within an
+    array are left out, bytes that aren't UTF-8 give replacement characters, and an id outside the
+    vocabulary, a negative one too, is an error. Arrays may be of any length; repeated rows and null keys stay."""
 
     def work(batches):
         turn = _decoder(model)
@@ -399,7 +453,7 @@ def _by_broadcast(rows: DataFrame, words: DataFrame, model: str, kind: str) -> D
         h, first, size, flat = sent.value
         for b in batches:
             for i, j, data, offsets in _spaced_runs(b.column(1)):
-                start, end, owner = word_spans(data, offsets, t.cuts)
+                start, end, owner = segments(data, offsets, t)
                 own, back = np.unique(Hasher(data)(start, end, 11), return_inverse=True)
                 at = np.searchsorted(h, own)
                 n_own, first_own = size[at].astype(np.int64), first[at].astype(np.int64)
@@ -416,10 +470,10 @@ def _by_shuffle(rows: DataFrame, words: DataFrame, model: str, kind: str) -> Dat
     """The rows' ids by a shuffled join of their words with the dictionary."""
 
     def cut(batches):
-        cuts = table(model).cuts
+        t = table(model)
         for b in batches:
             for i, j, data, offsets in _spaced_runs(b.column(1)):
-                start, end, owner = word_spans(data, offsets, cuts)
+                start, end, owner = segments(data, offsets, t)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(owner)), pa.array(start - offsets[owner]), pa.array(Hasher(data)(start, end, 11).view(np.int64)), _take_spans(data, start, end)], names=["row", "at", "h", "word"])
 
     numbered = materialise(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
@@ -436,10 +490,11 @@ def _by_shuffle(rows: DataFrame, words: DataFrame, model: str, kind: str) -> Dat
     return found.mapInArrow(work, f"doc_id {kind}, n_tokens bigint, ids array<int>, decoded string")
 
 
-def encode(docs: DataFrame, model: str = MODEL, text: str = "text", key: str = "doc_id", dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, text: str = "text", key: str = "doc_id", dictionary_bytes: int = DICTIONARY_BYTES, fold: str | None = None) -> DataFrame:
     """One row for each document: doc_id, n_tokens, ids, decoded.
 
-    The ids are exactly the library's for the whole text; ``decoded`` is what the ids decode to, which is
+    The ids are exactly the library's for the whole text, however long; with ``fold`` "viterbi" and a model of
+    merges they are those of the greatest sum of its scores instead. ``decoded`` is what the ids decode to, which is
     the text (with a space for a literal space mark). A null or empty text has no id. Repeated rows give
     repeated rows, null keys stay null, an empty table gives an empty result, and other columns are
     neither read nor returned. The dictionary of distinct words grows with the corpus: up to
@@ -447,7 +502,7 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", key: str = "
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    words = dictionary(rows, model)
+    words = dictionary(rows, model, fold=fold)
     size = words.agg(F.coalesce(F.sum(F.lit(16) + F.size("ids") * 2), F.lit(0))).first()[0]
     out = _by_broadcast(rows, words, model, kind) if size <= dictionary_bytes else None
     return _by_shuffle(rows, words, model, kind) if out is None else out
@@ -455,3 +510,8 @@ def encode(docs: DataFrame, model: str = MODEL, text: str = "text", key: str = "
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
     return encode(read_table(spark, sf_dir, "documents"))
+
+
+def sentencepiece_viterbi(spark, sf_dir: str) -> DataFrame:
+    """The documents' ids by Viterbi over the scores of the pieces."""
+    return encode(read_table(spark, sf_dir, "documents"), fold="viterbi")

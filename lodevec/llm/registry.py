@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_language_id": langid.op9_language_id,
         "op10_sentencepiece": lattice.op10_sentencepiece,
+        "sentencepiece_viterbi": lattice.sentencepiece_viterbi,
         "pipeline": corpus_pipeline.run,
     }
 

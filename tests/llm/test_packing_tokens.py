@@ -146,6 +146,40 @@ def test_decoding(spark):
     assert {r.doc_id: r.decoded for r in lattice.decode(df).collect()} == {1: "some text, größer", 2: "", 3: "", 4: "�"}
 
 
+def test_decoding_refuses_unknown_ids(spark):
+    frame = lambda ids: spark.createDataFrame([(1, ids)], "doc_id bigint, ids array<int>")
+    ids = SP.encode("text")
+    assert lattice.decode(frame([None, *ids, None])).first().decoded == "text" and lattice.decode(frame([None])).first().decoded == ""
+    for bad in ([-1], [*ids, SP.vocab_size()]):
+        with pytest.raises(Exception, match="ids must be"):
+            lattice.decode(frame(bad)).collect()
+
+
+def test_long_words_are_cut_where_no_piece_goes_across():
+    t = lattice.table(MODEL)
+    text = " " + "".join(chr(0x4E00 + i * 7 % 5000) for i in range(400)) + "wordswithoutspaces" * 20
+    data = np.frombuffer(text.encode(), np.uint8)
+    start, end, owner = lattice.segments(data, np.array([0, len(data)]), t)
+    parts = [data[a:b].tobytes().decode() for a, b in zip(start, end)]
+    assert "".join(parts) == text and not owner.any() and max(len(p) for p in parts if ord(p[-1]) > 127) <= lattice.MASK_CHARS
+    assert not any(a[-1] + b[0] in p for a, b in zip(parts, parts[1:]) for p in t.scores)
+
+
+def test_texts_by_viterbi(spark, odd_docs):
+    """Whole texts come back exactly, and no word has a segmentation of a greater sum."""
+    t = lattice.table(MODEL)
+    texts = [x for x in ODD if len(x) < 300] + [prose(i, 20) for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").unionByName(odd_docs.where("doc_id in (2, 3, 4, 8, 9)").select("doc_id", "text"))
+    got = lattice.encode(docs, fold="viterbi").collect()
+    assert sorted((r.doc_id, r.decoded) for r in got) == sorted((r.doc_id, (r.text or "").replace("▁", " ")) for r in docs.collect())
+    least, ids = min(t.scores.values()) - 10, {r.doc_id: r.ids for r in got}
+    for i in range(len(texts) - 10, len(texts)):
+        best = sum(best_sum(" " + w, t.scores, least)[0] for w in texts[i].split(" "))
+        assert sum(t.all[x][1] for x in ids[i]) == pytest.approx(best)
+    with pytest.raises(ValueError):
+        lattice.encode(docs, fold="other")
+
+
 def test_overtaking_pieces_are_few_and_words_without_them_need_one_pass():
     t = lattice.table(MODEL)
     risky = t.overtaking()
@@ -186,7 +220,7 @@ def test_viterbi_takes_the_best_sum(spark):
     scores = {"".join(r.choice("abc") for _ in range(n)): -r.uniform(1, 9) for n in (1, 2, 2, 3, 3, 3, 4) for _ in range(4)}
     pieces = spark.createDataFrame(list(scores.items()), "piece string, score double")
     words = sorted({"".join(r.choice("abcd") for _ in range(r.randint(1, 9))) for _ in range(150)})
-    got = lattice.viterbi(spark.createDataFrame([(w,) for w in words], "word string"), pieces, 4, -20.0).collect()
+    got = lattice.viterbi(spark.createDataFrame(list(enumerate(words)), "h bigint, word string"), pieces, 4, -20.0).collect()
     assert len(got) == len(words)
     for x in got:
         score, _ = best_sum(x.word, scores, -20.0)
