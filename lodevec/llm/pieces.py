@@ -15,8 +15,8 @@ import pyarrow as pa
 import sentencepiece
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words a worker keeps; memory only, the ids don't depend on it.
-CACHE_WORDS = 400_000
+#: Words and ids of words a worker keeps; memory only, the ids don't depend on it.
+CACHE_WORDS, CACHE_IDS = 400_000, 8_000_000
 
 
 class PieceEncoder:
@@ -44,13 +44,13 @@ class PieceEncoder:
                 own = t.split(" ")
                 words += own
                 n_words[i] = len(own)
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
             self._clear()
         index = self.index
         if new := [w for w in set(words) if w not in index]:
             ids = self.sp.encode(new, num_threads=1)
             lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            index.update(zip(new, range(len(index), len(index) + len(new))))
+            index.update(zip(new, range(len(self.at) - 1, len(self.at) - 1 + len(new))))
             self.flat = np.concatenate([self.flat, np.fromiter((x for w in ids for x in w), np.int32, int(lens.sum()))])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lens)])
         at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
@@ -59,8 +59,8 @@ class PieceEncoder:
         total = int(ends[-1]) if len(ends) else 0
         out = self.flat[np.repeat(self.at[at] - (ends - lens), lens) + np.arange(total)]
         counts = np.bincount(np.repeat(np.arange(len(texts)), n_words), weights=lens, minlength=len(texts)).astype(np.int64)
-        if whole:
-            self._clear()  # whole texts aren't worth keeping
+        for t in whole:  # whole texts aren't worth keeping
+            index.pop(t, None)
         return out, counts
 
 

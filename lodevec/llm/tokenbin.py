@@ -53,20 +53,32 @@ def read_block(packed: bytes, block_offsets, number: int, n: int, bits: int, blo
     return unpack_ids(packed[block_offsets[number] : block_offsets[number + 1]], ids, bits)
 
 
-def _packed(ids: np.ndarray, counts: np.ndarray, bits: int) -> list[bytes]:
+def _packed(ids: np.ndarray, counts: np.ndarray, bits: int) -> pa.Array:
     """``pack_ids`` of each text of a run at once: texts are padded to 8 ids, so each begins at a byte."""
     room = -(-counts // 8) * 8
     at = np.cumsum(room) - room
     padded = np.zeros(int(room.sum()), ids.dtype)
     padded[np.repeat(at - (np.cumsum(counts) - counts), counts) + np.arange(len(ids))] = ids
-    flat, first, size = pack_ids(padded, bits), at * bits // 8, -(-counts * bits // 8)
-    return [flat[a : a + b] for a, b in zip(first.tolist(), size.tolist())]
+    flat, first, size = np.frombuffer(pack_ids(padded, bits), np.uint8), at * bits // 8, -(-counts * bits // 8)
+    stop = np.cumsum(size)
+    data = flat[np.repeat(first - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], stop]).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _offsets(counts: np.ndarray, bits: int, block: int) -> pa.Array:
+    """``offsets_of`` each text of a run."""
+    blocks = -(-counts // block)
+    stop = np.cumsum(blocks + 1)
+    number = np.arange(int(stop[-1]) if len(stop) else 0) - np.repeat(stop - blocks - 1, blocks + 1)
+    flat = number * (block * bits // 8)
+    flat[stop - 1] = -(-counts * bits // 8)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 def tokenise(docs: DataFrame, model: str = MODEL, block: int = BLOCK, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each document: doc_id, n_tokens, bits, block_len, block_offsets, packed.
 
-    The ids are exactly the library's for the whole text. A null or empty text has 0 tokens, the offsets
+    The ids are exactly the library's for the whole text, however long. A null or empty text has 0 tokens, the offsets
     [0] and no byte. Repeated rows give repeated rows, null keys stay null, an empty table gives an empty
     result, and other columns are neither read nor returned. A narrow step: nothing is shuffled.
     """
@@ -81,9 +93,8 @@ def tokenise(docs: DataFrame, model: str = MODEL, block: int = BLOCK, text: str
             texts = b.column(1)
             for i, j in slices(texts):
                 ids, n = enc.encode(texts.slice(i, j - i).to_pylist())
-                offsets = [offsets_of(x, bits, block) for x in n.tolist()]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(n), pa.array(np.full(j - i, bits, np.int32)), pa.array(np.full(j - i, block, np.int32)), pa.array(offsets, pa.list_(pa.int32())), pa.array(_packed(ids, n, bits), pa.binary())],
+                    [b.column(0).slice(i, j - i), pa.array(n), pa.array(np.full(j - i, bits, np.int32)), pa.array(np.full(j - i, block, np.int32)), _offsets(n, bits, block), _packed(ids, n, bits)],
                     names=["doc_id", "n_tokens", "bits", "block_len", "block_offsets", "packed"],
                 )
 
