@@ -63,3 +63,27 @@ def test_packing_is_the_naive_one(stages):
 def test_run_gives_the_last_stage(spark, stages):
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.01")
     assert got.columns == stages[4].columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, stages[4].collect()))
+
+
+def test_stages_on_odd_documents(spark, odd_docs):
+    """Nulls, empty and very long texts, repeated rows and clashing names: each stage does what it says of them."""
+    sf = "/root/testdata/sf0.01"
+    clean, known, once, packed = (lambda docs, s=stage: s(spark, docs, sf) for _, stage in corpus_pipeline.STAGES)
+    ids = lambda df: sorted(-1 if r.doc_id is None else r.doc_id for r in df.select("doc_id").collect())
+    assert ids(clean(odd_docs)) == ids(odd_docs)
+    spoken = set(ids(known(odd_docs)))
+    assert spoken >= {1, 5, 6} and not {2, 3, 4, 8} & spoken
+    assert ids(once(odd_docs)) == [-1, -1, 1, 2, 3, 4, 5, 6, 7, 8, 9]
+    assert set(ids(packed(odd_docs))) == {-1, 1, 4, 5, 6, 7, 8, 9}
+    for stage in (clean, known, once):
+        assert stage(odd_docs).columns == odd_docs.columns and stage(odd_docs.limit(0)).count() == 0
+    assert packed(odd_docs.limit(0)).count() == 0
+
+
+def test_language_stage_rejects(spark, stages):
+    """Texts in scripts that no document of a known language has, and without letters, go; the table's own stay."""
+    docs = stages[1]
+    odd = spark.createDataFrame([(10**9, "Жили были дед и баба, ели кашу с молоком. " * 4), (10**9 + 1, "12 34 -- !!"), (10**9 + 2, "これは日本語の文章です。" * 4)], "doc_id bigint, text string")
+    both = docs.unionByName(odd, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, both, "").select("doc_id").collect()}
+    assert not kept & {10**9, 10**9 + 1, 10**9 + 2} and len(kept) >= 0.99 * docs.count()
