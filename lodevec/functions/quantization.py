@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.errors import ValidationError
+from lodevec.functions import flat
 from lodevec.functions.vector import _col, wide
 
 INFO = {
@@ -47,7 +48,11 @@ def quantize_binary(v: Column | str) -> Column:
 
     @F.arrow_udf("binary")
     def bits(rows: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else np.packbits(np.array(x, float) > 0).tobytes() for x in rows.to_pylist()], pa.binary())
+        values, n, valid = flat.flattened(rows)
+        room = -(-n // 8) * 8
+        padded = np.zeros(int(room.sum()), bool)
+        padded[flat.places(np.cumsum(room) - room, n)] = values > 0
+        return flat.binaries(np.packbits(padded), room // 8, valid)
 
     return bits(_col(v))
 
@@ -66,7 +71,8 @@ def half(values: np.ndarray) -> np.ndarray:
 def quantize_fp16(v: Column | str) -> Column:
     @F.arrow_udf("array<float>")
     def halves(rows: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else half(np.array(x, np.float32)) for x in rows.to_pylist()], pa.list_(pa.float32()))
+        values, n, valid = flat.flattened(rows)
+        return flat.lists(half(values.astype(np.float32)), n, valid)
 
     return halves(_col(v))
 
@@ -87,7 +93,12 @@ def dequantize(codes: Column | str, kind: str, dimensions: int | None = None) ->
 
     @F.arrow_udf("array<float>")
     def signs(b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else np.unpackbits(np.frombuffer(x, np.uint8), count=dimensions).astype(np.float32) * 2 - 1 for x in b.to_pylist()], pa.list_(pa.float32()))
+        data, n, valid = flat.bytes_of(b)
+        bits = np.where(valid, n * 8 if dimensions is None else dimensions, 0)
+        if (bits > n * 8).any():
+            raise ValidationError(f"codes have fewer than {dimensions} bits")
+        found = np.unpackbits(data)[flat.places((np.cumsum(n) - n) * 8, bits)]
+        return flat.lists(found.astype(np.float32) * 2 - 1, bits, valid)
 
     return signs(c)
 

@@ -172,26 +172,35 @@ def cluster_embeddings(df: DataFrame, config: GreedyConfig = GreedyConfig(), by:
     return _labelled(df, lambda v: greedy_labels(v, config), by or [], key, vector)
 
 
+def cluster_summaries(df: DataFrame, assigned: DataFrame, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(cluster_id, size, centroid, cohesion) of a clustering (key, cluster_id) of ``df``; noise (-1) is no cluster.
+
+    Members and labels are the rows of ``assigned`` themselves; ``quality.cluster_stats`` gives the statistics.
+    """
+    members = df.where(F.col(vector).isNotNull()).join(assigned.where("cluster_id >= 0").select(key, "cluster_id"), key).select("cluster_id", key, vector)
+    shape = quality.cohesion(members, metric, vector, key)
+    return quality.centroids(members, vector).drop("size").join(shape, "cluster_id").select("cluster_id", "size", "centroid", "cohesion")
+
+
 @dataclass
 class IncrementalClusterer:
     """Online leader clustering of rows as they come; the state is the centroids and sizes alone.
 
-    ``rebalance`` needs the vectors, so it takes them and clusters them again, labels kept.
+    Which row is in which cluster is what ``add`` returns and the caller keeps; with the rows at hand
+    ``cluster_summaries`` gives members' cohesion, and ``rebalance`` clusters them again.
     """
 
     config: GreedyConfig = field(default_factory=GreedyConfig)
 
     def __post_init__(self):
         self._leader = Leader(self.config.threshold, self.config.metric)
-        self.assignments: dict = {}
 
-    def add(self, key, v) -> int:
-        c = self._leader.add(np.asarray(v))
-        self.assignments[key] = c
-        return c
+    def add(self, v) -> int:
+        """The cluster of one more row."""
+        return self._leader.add(np.asarray(v))
 
     def add_batch(self, rows) -> list[int]:
-        return [self.add(k, v) for k, v in rows]
+        return [self.add(v) for v in rows]
 
     @property
     def size(self) -> int:
@@ -204,15 +213,25 @@ class IncrementalClusterer:
         n = self._leader.sizes
         return {"clusters": len(n), "rows": sum(n), "average_size": sum(n) / len(n) if n else 0.0}
 
-    def rebalance(self, rows) -> None:
-        rows = list(rows)
-        labels = greedy_labels(np.stack([v for _, v in rows]), self.config) if rows else []
-        self.assignments = {k: int(c) for (k, _), c in zip(rows, labels)}
+    def state(self) -> tuple[np.ndarray, list[int]]:
+        """Centroids and sizes, from which ``restore`` goes on."""
+        n = len(self._leader.sizes)
+        return self._leader.centroids[:n].copy(), list(self._leader.sizes)
+
+    def restore(self, centroids: np.ndarray, sizes: list[int]) -> None:
         self._leader = Leader(self.config.threshold, self.config.metric)
-        if len(rows):
-            v = np.stack([x for _, x in rows]).astype(np.float32)
-            self._leader.centroids = np.stack([_mean(v[labels == c]) for c in range(labels.max() + 1)])
-            self._leader.sizes = np.bincount(labels).tolist()
+        if sizes:
+            self._leader.centroids, self._leader.sizes = np.array(centroids, np.float32), list(sizes)
+
+    def rebalance(self, rows) -> list[int]:
+        """Clusters vectors anew, all of them at once, and goes on from there; the cluster of each."""
+        v = [np.asarray(x, np.float32) for x in rows]
+        if not v:
+            self.restore(np.zeros((0, 0)), [])
+            return []
+        labels = greedy_labels(np.stack(v), self.config)
+        self.restore(np.stack([_mean(np.stack(v)[labels == c]) for c in range(labels.max() + 1)]), np.bincount(labels).tolist())
+        return labels.tolist()
 
 
 def distances(v: np.ndarray, metric: str) -> np.ndarray:

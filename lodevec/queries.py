@@ -1,6 +1,7 @@
 """The queries over the test tables, one for each operator, and the SQL of those that SQL can express.
 
-Every query runs over its whole tables. Vectors in results are given as rows (id, pos, value).
+Every query runs over its whole tables; searches ask the vectors whose ids are divisible by 100 and look
+among all. Vectors in results are given as rows (id, pos, value).
 """
 
 from __future__ import annotations
@@ -65,9 +66,9 @@ def _members(spark: SparkSession, sf: str) -> DataFrame:
     return _vectors(spark, sf).select("vec_id", "embedding", F.col("label").alias("cluster_id"))
 
 
-def _label_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """One query for each label: the mean of its vectors."""
-    return G.average(_vectors(spark, sf), ["label"]).select(F.col("label").cast("bigint").alias("query_id"), "embedding")
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The queries of a search: every vector whose id is divisible by 100."""
+    return _vectors(spark, sf).where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
 
 
 def _mean_query(spark: SparkSession, sf: str) -> list[float]:
@@ -134,7 +135,10 @@ def validate_dimensions(spark, sf):
     return V.validate_dimensions(_vectors(spark, sf)).withColumn("mismatches", F.size("mismatches"))
 
 
-@_query("random_projection")
+_MATRIX = ", ".join(f"({i}, {[float(x) for x in row]}::DOUBLE[])" for i, row in enumerate(projection_matrix(64, 16)))
+
+
+@_query("random_projection", f"WITH m AS (SELECT * FROM (VALUES {_MATRIX}) t(pos, w)) SELECT vec_id, pos, round(list_inner_product(embedding::DOUBLE[], w)::FLOAT::DOUBLE, 5) AS value FROM embeddings, m")
 def random_projection(spark, sf):
     return _flat(P.project(_vectors(spark, sf), projection_matrix(64, 16)), ["vec_id"], "projected", 5)
 
@@ -150,28 +154,20 @@ def pairwise_similarity(spark, sf):
 
 def _top_sql(metric: str, k: int) -> str:
     s = _sql(_SCORE[metric], "q.embedding::DOUBLE[]", "c.embedding::DOUBLE[]")
-    return f"SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, {s} AS score FROM embeddings q, embeddings c)) WHERE rank <= {k}"
+    return f"SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, {s} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0)) WHERE rank <= {k}"
 
 
-def _top_query(metric: str) -> Query:
-    def top(spark, sf):
-        e = _vectors(spark, sf)
-        return S.top_k_multi(e.withColumnRenamed("vec_id", "query_id"), e, 10, metric).withColumn("score", _round("score"))
-
-    return top
+def _top_query(metric: str, strategy: str = "blocks") -> Query:
+    return lambda spark, sf: S.top_k_multi(_asked(spark, sf), _vectors(spark, sf), 10, metric, strategy=strategy).withColumn("score", _round("score"))
 
 
 for _m in V.METRICS:
     _query(f"topk_multi_{_m}", _top_sql(_m, 10))(_top_query(_m))
+_query("topk_expression", _top_sql("cosine", 10))(_top_query("cosine", "expression"))
 
 _ONE = f"WITH {_ONE_MEAN}, s AS (SELECT vec_id AS id, label, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM embeddings, one)"
 
 
-@_query("topk_expression", f"WITH {_MEANS} SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT m.label AS query_id, e.vec_id AS id, list_cosine_similarity(m.c, e.embedding::DOUBLE[]) AS score FROM means m, embeddings e)) WHERE rank <= 10")
-def topk_expression(spark, sf):
-    return S.top_k_multi(_label_queries(spark, sf), _vectors(spark, sf), 10, strategy="expression").withColumn("score", _round("score"))
-
-
 @_query("topk_single", _ONE + " SELECT id, label, round(score, 6) AS score FROM s ORDER BY round(s.score, 9) DESC, id LIMIT 20")
 def topk_single(spark, sf):
     return S.top_k(_vectors(spark, sf), _mean_query(spark, sf), 20).select("id", "label", _round("score").alias("score"))
@@ -195,9 +191,11 @@ def above_threshold(spark, sf):
 _EDGES = f"edges AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= {CLOSE})"
 
 
-@_query("similar_pairs", f"WITH {_EDGES} SELECT a, b, round(score, 6) AS score FROM edges")
+@_query("similar_pairs", f"""WITH RECURSIVE {_EDGES}, both_ways AS (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, w.b FROM reach r JOIN both_ways w ON r.other = w.a)
+SELECT vec_id, min(other) AS class_id, (SELECT count(*) FROM both_ways WHERE a = vec_id) AS links FROM reach GROUP BY vec_id""")
 def similar_pairs(spark, sf):
-    return S.similar_pairs(_vectors(spark, sf), CLOSE).withColumn("score", _round("score"))
+    return S.similar_classes(_vectors(spark, sf), CLOSE)
 
 
 @_query("dedup_greedy", f"""WITH RECURSIVE {_EDGES}, ids AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings),
@@ -208,36 +206,43 @@ def dedup_greedy(spark, sf):
     return S.deduplicate(_vectors(spark, sf), CLOSE).select("vec_id")
 
 
-@_query("similarity_matrix", "SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b")
+@_query("similarity_matrix", "SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
 def similarity_matrix(spark, sf):
-    return S.similarity_matrix(_vectors(spark, sf)).withColumn("score", _round("score"))
+    e = _vectors(spark, sf)
+    return S.similarity_matrix(e, rows=e.where("vec_id % 100 = 0")).withColumn("score", _round("score"))
 
 
-@_query("mmr_search")
+@_query("mmr_search", f"""WITH RECURSIVE pool AS (SELECT p.*, e.embedding::DOUBLE[] AS v FROM ({_top_sql("cosine", 40).replace("round(score, 6) AS score", "score")}) p JOIN embeddings e ON e.vec_id = p.id),
+near AS MATERIALIZED (SELECT x.query_id, x.id, y.id AS other, list_cosine_similarity(x.v, y.v) AS s FROM pool x JOIN pool y USING (query_id)),
+walk AS (SELECT query_id, 0 AS rank, []::BIGINT[] AS taken FROM pool GROUP BY 1
+ UNION ALL SELECT query_id, rank + 1, list_append(taken, id) FROM (
+  SELECT w.query_id, w.rank, w.taken, p.id, row_number() OVER (PARTITION BY w.query_id ORDER BY round(0.5 * p.score - 0.5 * coalesce((SELECT greatest(0, max(n.s)) FROM near n WHERE n.query_id = p.query_id AND n.id = p.id AND list_contains(w.taken, n.other)), 0), 12) DESC, p.rank) AS place
+  FROM walk w JOIN pool p ON p.query_id = w.query_id AND NOT list_contains(w.taken, p.id) WHERE w.rank < 10) WHERE place = 1)
+SELECT w.query_id, w.rank, w.taken[w.rank] AS id, round(p.score, 6) AS score FROM walk w JOIN pool p ON p.query_id = w.query_id AND p.id = w.taken[w.rank] WHERE w.rank > 0""")
 def mmr_search(spark, sf):
-    e = _vectors(spark, sf)
-    return S.mmr_search(e.withColumnRenamed("vec_id", "query_id"), e, 10)
+    return S.mmr_search(_asked(spark, sf), _vectors(spark, sf), 10).withColumn("score", _round("score"))
 
 
-_CROSS = f"WITH {_MEANS}, r AS (SELECT query_id, id, score, embedding, c FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT m.label AS query_id, e.vec_id AS id, m.c, e.embedding, list_cosine_similarity(m.c, e.embedding::DOUBLE[]) AS score FROM means m, embeddings e)) WHERE rank <= 20)"
+_FOUND = "r AS (SELECT query_id, id, score, embedding, q FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT m.vec_id AS query_id, e.vec_id AS id, m.embedding::DOUBLE[] AS q, e.embedding::DOUBLE[] AS embedding, list_cosine_similarity(m.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM embeddings m, embeddings e WHERE m.vec_id % 100 = 0)) WHERE rank <= 20)"
+_CROSS = f"WITH {_FOUND}"
 
 
-@_query("rerank_results", _CROSS + " SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s.score, 9) DESC, id) AS rank FROM (SELECT query_id, id, 0.3 * score + 0.7 / (1 + list_distance(c, embedding::DOUBLE[])) AS score FROM r) s")
+@_query("rerank_results", _CROSS + " SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s.score, 9) DESC, id) AS rank FROM (SELECT query_id, id, 0.3 * score + 0.7 / (1 + list_distance(q, embedding)) AS score FROM r) s")
 def rerank_results(spark, sf):
-    e, q = _vectors(spark, sf), _label_queries(spark, sf)
+    e, q = _vectors(spark, sf), _asked(spark, sf).select("query_id", "embedding")
     found = S.top_k_multi(q, e, 20).join(e.select(F.col("vec_id").alias("id"), "embedding"), "id").join(q.withColumnRenamed("embedding", "query_vector"), "query_id")
     return S.rerank(found, "euclidean", 0.3, 0.7).select("query_id", "id", _round("score").alias("score"), "rank")
 
 
-@_query("rrf_fusion", _CROSS.replace("WITH ", "WITH ", 1) + ", l AS (SELECT query_id AS list_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM r), f AS (SELECT id, sum(1 / (60.0 + rank)) AS score, min({'l': list_id, 'r': rank}) AS seen FROM l GROUP BY id) SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(f.score, 12) DESC, seen) AS rank FROM f")
+@_query("rrf_fusion", _CROSS + ", l AS (SELECT query_id AS list_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM r), f AS (SELECT id, sum(1 / (60.0 + rank)) AS score, min({'l': list_id, 'r': rank}) AS seen FROM l GROUP BY id) SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(f.score, 12) DESC, seen) AS rank FROM f")
 def rrf_fusion(spark, sf):
-    lists = S.top_k_multi(_label_queries(spark, sf), _vectors(spark, sf), 20).withColumnRenamed("query_id", "list_id")
+    lists = S.top_k_multi(_asked(spark, sf), _vectors(spark, sf), 20).withColumnRenamed("query_id", "list_id")
     return S.fuse_ranked_lists(lists).withColumn("score", _round("score"))
 
 
 def _normal(method: str) -> Query:
     def run(spark, sf):
-        lists = S.top_k_multi(_label_queries(spark, sf), _vectors(spark, sf), 20).select("query_id", "id", "score")
+        lists = S.top_k_multi(_asked(spark, sf), _vectors(spark, sf), 20).select("query_id", "id", "score")
         return S.normalize_scores(lists, method, ["query_id"]).withColumn("score", _round("score"))
 
     return run
@@ -248,24 +253,31 @@ _query("normalize_zscore", _CROSS + " SELECT query_id, id, round(coalesce((score
 _query("normalize_sigmoid", _CROSS + " SELECT query_id, id, round(1 / (1 + exp(-score)), 6) AS score FROM r")(_normal("sigmoid"))
 
 
-@_query("search_index", f"WITH {_MEANS}, c AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE label <> 3 UNION ALL SELECT label - 1000, c FROM means) SELECT query_id, rank, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT m.label AS query_id, c.vec_id AS id, list_cosine_similarity(m.c, c.v) AS score FROM means m, c) WHERE score >= 0.1) WHERE rank <= 15")
+@_query("search_index", """WITH c AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label <> 3 AND vec_id % 100 <> 0 UNION ALL SELECT vec_id, -1, list_transform(embedding, lambda x: -x)::DOUBLE[] FROM embeddings WHERE label <> 3 AND vec_id % 100 = 0)
+SELECT query_id, rank, id, round(score, 6) AS score, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, list_cosine_similarity(q.embedding::DOUBLE[], c.v) AS score FROM embeddings q, c WHERE q.vec_id % 100 = 0 AND c.label <> 5) WHERE score >= 0.1) WHERE rank <= 15""")
 def search_index(spark, sf):
-    e, q = _vectors(spark, sf), _label_queries(spark, sf)
-    index = SearchIndex(spark, "cosine").add(e.select(F.col("vec_id").alias("id"), "embedding"))
-    index = index.add(q.select((F.col("query_id") - 1000).alias("id"), "embedding")).remove(e.where("label = 3").select(F.col("vec_id").alias("id")))
-    return index.search(q, 15, threshold=0.1).withColumn("score", _round("score"))
+    """All vectors are added, the asked ones replaced by their opposites, those of a label removed; one more label is filtered out."""
+    e, q = _vectors(spark, sf), _asked(spark, sf)
+    item = lambda key, v, label: (F.col(key).alias("id"), v.alias("embedding"), F.create_map(F.lit("label"), label.cast("string")).alias("metadata"))
+    index = SearchIndex(spark, "cosine").add(e.select(*item("vec_id", F.col("embedding"), F.col("label"))))
+    index = index.add(q.select(*item("query_id", F.transform("embedding", lambda x: -x), F.lit(-1)))).remove(e.where("label = 3").select(F.col("vec_id").alias("id")))
+    found = index.search(q, 15, threshold=0.1, where="metadata['label'] <> '5'")
+    return found.select("query_id", "rank", "id", _round("score").alias("score"), F.col("metadata")["label"].cast("int").alias("label"))
 
 
-@_query("hnsw_search")
+@_query("hnsw_search", _top_sql("cosine", 10))
 def hnsw_search(spark, sf):
-    e = _vectors(spark, sf)
-    return H.search(H.build(e), e.withColumnRenamed("vec_id", "query_id"), 10)
+    """The graph index is saved before it's searched; on the test tables it finds exactly the nearest."""
+    index = materialise(H.build(_vectors(spark, sf)), "graph")
+    return H.search(index, _asked(spark, sf), 10).withColumn("score", _round("score"))
 
 
 @_query("embedding_store")
 def embedding_store(spark, sf):
-    store = EmbeddingStore(spark, P.HashProvider(64)).add_batch(read_table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))
-    return store.search_texts(read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 3)
+    """All documents are stored; the texts of benchmark are asked for."""
+    docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"))
+    store = EmbeddingStore(spark, P.HashProvider(64)).add_batch(docs)
+    return store.search_texts(read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 3).select("query_id", "rank", "id", "score", F.col("metadata")["lang"].alias("lang"))
 
 
 # --- aggregates
@@ -366,6 +378,14 @@ def within_cluster_distance(spark, sf):
 
 
 _query("cluster_greedy")(lambda spark, sf: C.cluster_embeddings(_vectors(spark, sf), C.GreedyConfig(CLOSE, 5, 10)))
+@_query("cluster_summaries", f"WITH {_MEANS}, sizes AS (SELECT label, count(*) AS size FROM embeddings GROUP BY 1), pairs AS (SELECT a.label, avg(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS cohesion FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1) SELECT label AS cluster_id, size, round(cohesion, 6) AS cohesion, round(list_sum(c), 4) AS centroid_sum FROM means JOIN sizes USING (label) JOIN pairs USING (label)")
+def cluster_summaries(spark, sf):
+    e = _vectors(spark, sf)
+    out = C.cluster_summaries(e, e.select("vec_id", F.col("label").alias("cluster_id")))
+    total = F.aggregate(F.col("centroid").cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+    return out.select("cluster_id", "size", _round("cohesion").alias("cohesion"), _round(total, 4).alias("centroid_sum"))
+
+
 _query("cluster_incremental")(lambda spark, sf: online.cluster_batches(_vectors(spark, sf), C.GreedyConfig(CLOSE)))
 _query("cluster_hdbscan")(lambda spark, sf: C.hdbscan(_vectors(spark, sf), 5))
 _query("optimal_k")(lambda spark, sf: C.optimal_k(_vectors(spark, sf)))
@@ -376,10 +396,10 @@ def core_distances(spark, sf):
     return C.core_distances(_vectors(spark, sf), 5).withColumn("core_distance", _round("core_distance"))
 
 
-# --- evaluation: a query's relevant rows are those of its label, its results the ten nearest
+# --- evaluation: the searches' queries; relevant are the rows of a query's label, its results the ten nearest
 
 _RESULTS = _top_sql("cosine", 10)
-_EVAL = f"""WITH res AS ({_RESULTS}), qrels AS (SELECT q.vec_id AS query_id, d.vec_id AS id, 1 + d.vec_id % 3 AS rel FROM embeddings q JOIN embeddings d ON q.label = d.label),
+_EVAL = f"""WITH res AS ({_RESULTS}), qrels AS (SELECT q.vec_id AS query_id, d.vec_id AS id, 1 + d.vec_id % 3 AS rel FROM embeddings q JOIN embeddings d ON q.label = d.label WHERE q.vec_id % 100 = 0),
 f AS (SELECT res.query_id, rank, rel, (rel IS NOT NULL)::INT AS hit FROM res LEFT JOIN qrels USING (query_id, id)),
 h AS (SELECT *, sum(hit) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM f),
 p AS (SELECT query_id, sum(hit) FILTER (rank <= 5) AS top_hits, sum((pow(2, coalesce(rel, 0)) - 1) / log2(rank + 1)) FILTER (rank <= 5) AS dcg, max(CASE WHEN hit = 1 THEN 1.0 / rank END) AS rr, sum(CASE WHEN hit = 1 THEN hits / rank END) AS ps FROM h GROUP BY 1),
@@ -389,8 +409,9 @@ SELECT query_id, round(coalesce(top_hits / n, 0), 6) AS recall, round(coalesce(d
 
 def _judged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     e = _vectors(spark, sf)
-    results = S.top_k_multi(e.withColumnRenamed("vec_id", "query_id"), e, 10)
-    qrels = e.select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label", (1 + F.col("vec_id") % 3).alias("relevance")), "label")
+    asked = _asked(spark, sf)
+    results = S.top_k_multi(asked, e, 10)
+    qrels = asked.select("query_id", "label").join(e.select(F.col("vec_id").alias("id"), "label", (1 + F.col("vec_id") % 3).alias("relevance")), "label")
     return results, qrels.select("query_id", "id", "relevance")
 
 
@@ -400,7 +421,7 @@ def evaluate_retrieval(spark, sf):
     return out.select("query_id", *[_round(c).alias(c) for c in ("recall", "ndcg", "mrr", "ap")])
 
 
-@_query("evaluate_summary", f"SELECT round(avg(recall), 5) AS recall, round(avg(ndcg), 5) AS ndcg, round(avg(mrr), 5) AS mrr, round(avg(ap), 5) AS ap, count(*) AS queries FROM ({_EVAL})")
+@_query("evaluate_summary", f"SELECT round(avg(recall), 5) AS recall, round(avg(ndcg), 5) AS ndcg, round(avg(mrr), 5) AS mrr, round(avg(ap), 5) AS ap, count(*) AS queries FROM ({_EVAL.replace('round(coalesce(', '(coalesce(').replace(', 0), 6) AS', ', 0)) AS')})")
 def evaluate_summary(spark, sf):
     out = E.summary(E.evaluate(*_judged(spark, sf), k=5))
     return out.select(*[_round(c, 5).alias(c) for c in ("recall", "ndcg", "mrr", "ap")], "queries")
@@ -424,7 +445,8 @@ def quantize_binary(spark, sf):
     return _vectors(spark, sf).select("vec_id", bits.alias("bits"))
 
 
-_query("quantize_fp16")(lambda spark, sf: _flat(_vectors(spark, sf).select("vec_id", Q.quantize("embedding", "fp16").alias("v")), ["vec_id"], "v", 7))
+_query("quantize_fp16", """WITH f AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings), e AS (SELECT *, pow(2, floor(log2(abs(x))) - 10) AS step FROM f)
+SELECT vec_id, pos, round(CASE WHEN x = 0 OR abs(x) < pow(2, -14) THEN 0 ELSE trunc(x / step) * step END, 7) AS value FROM e""")(lambda spark, sf: _flat(_vectors(spark, sf).select("vec_id", Q.quantize("embedding", "fp16").alias("v")), ["vec_id"], "v", 7))
 
 
 @_query("dequantize_int8", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, round((floor(greatest(least(unnest(embedding)::DOUBLE, 1), -1) * 127 + 0.5) / 127)::FLOAT::DOUBLE, 6) AS value FROM embeddings")
@@ -440,9 +462,10 @@ def memory_savings(spark, sf):
 _WORDS = "b AS (SELECT vec_id, list_aggregate(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), 'string_agg', '')::BIT AS w FROM embeddings)"
 
 
-@_query("hamming_topk", f"WITH {_WORDS} SELECT query_id, rank, id, d AS distance, round(1 - d / 64, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (SELECT x.vec_id AS query_id, y.vec_id AS id, bit_count(xor(x.w, y.w)) AS d FROM b x JOIN b y ON x.vec_id <> y.vec_id)) WHERE rank <= 5")
+@_query("hamming_topk", f"WITH {_WORDS} SELECT query_id, rank, id, d AS distance, round(1 - d / 64, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) AS rank FROM (SELECT x.vec_id AS query_id, y.vec_id AS id, bit_count(xor(x.w, y.w)) AS d FROM b x JOIN b y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0)) WHERE rank <= 5")
 def hamming_topk(spark, sf):
-    return Q.hamming_top_k(_vectors(spark, sf), 5, 64).withColumn("similarity", _round("similarity"))
+    e = _vectors(spark, sf)
+    return Q.hamming_top_k(e, 5, 64, queries=e.where("vec_id % 100 = 0")).withColumn("similarity", _round("similarity"))
 
 
 @_query("hamming_bytes", "WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS w FROM embeddings) SELECT x.vec_id, len(list_filter(list_zip(x.w, y.w), lambda z: z[1] <> z[2])) AS distance FROM b x JOIN b y ON y.vec_id = x.vec_id + 1")
@@ -486,8 +509,10 @@ _query("chunk_by_sentence")(lambda spark, sf: T.chunk_by_sentence(read_table(spa
 
 @_query("chunk_by_structure")
 def chunk_by_structure(spark, sf):
-    page = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n## "), F.col("lang"), F.lit("\n\n"), F.col("text"))
-    return T.chunk_by_structure(read_table(spark, sf, "documents").select("doc_id", page.alias("text")), 100)
+    """Each text as a Markdown page: as a paragraph, in a fence, as a list of its sentences and as cells of a table, under headings."""
+    t = F.col("text")
+    page = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n"), t, F.lit("\n\n## "), F.col("lang"), F.lit("\n\n```\n# no heading\n"), t, F.lit("\n```\n\n- "), F.regexp_replace(t, "[.] +", ".\n- "), F.lit("\n\n### table\n\n| a | b |\n|---|---|\n| "), F.regexp_replace(t, "[.] +", ". |\n| "), F.lit(" |\n"))
+    return T.chunk_by_structure(read_table(spark, sf, "documents").select("doc_id", page.alias("text")), 100, 20)
 
 
 # --- sources, codecs, pipelines
@@ -501,21 +526,29 @@ def codec_round_trip(spark, sf):
     return _flat(packed.select("vec_id", F.explode(codec.deserialize_column("blob")).alias("v")), ["vec_id"], "v", 5)
 
 
-@_query("codec_json", "SELECT vec_id, len(embedding) AS dimensions, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+@_query("codec_json", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, round(unnest(embedding)::DOUBLE, 5) AS value FROM embeddings")
 def codec_json(spark, sf):
-    back = F.from_json(F.to_json("embedding"), "array<double>")
-    return _vectors(spark, sf).select("vec_id", F.size(back).alias("dimensions"), _round(F.aggregate(back, F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+    text = codec.serialize_column(F.array("embedding"), "json")
+    return _flat(_vectors(spark, sf).select("vec_id", F.explode(codec.deserialize_column(text, "json")).alias("v")), ["vec_id"], "v", 5)
+
+
+@_query("codec_base64", "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, round(unnest(embedding)::DOUBLE, 5) AS value FROM embeddings")
+def codec_base64(spark, sf):
+    text = codec.serialize_column(F.array("embedding"), "base64")
+    return _flat(_vectors(spark, sf).select("vec_id", F.explode(codec.deserialize_column(text, "base64")).alias("v")), ["vec_id"], "v", 5)
 
 
 _query("model_registry")(lambda spark, sf: models.registry_frame(spark))
 
 
-@_query("ingest_resumable", "SELECT doc_id, 16 AS dimensions FROM documents WHERE doc_id IS NOT NULL")
+@_query("ingest_resumable", "SELECT doc_id, 16 AS dimensions, true AS as_in_one_go FROM documents WHERE doc_id IS NOT NULL")
 def ingest_resumable(spark, sf):
+    """A table that an earlier run embedded in part is finished; each vector is compared with that of a run in one go."""
     docs = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     done = materialise(P.embed(docs.where("lang = 'en'").drop("lang"), P.HashProvider(16), keys=["id"]), "done")  # an earlier run that was cut off
-    out = pipeline.EmbeddingPipeline(P.HashProvider(16)).embed(docs, done)
-    return done.unionByName(out).select(F.col("id").alias("doc_id"), F.size("embedding").alias("dimensions"))
+    out = done.unionByName(pipeline.EmbeddingPipeline(P.HashProvider(16), concurrency=2).embed(docs, done))
+    whole = P.embed(docs, P.HashProvider(16), keys=["id"]).select("id", F.col("embedding").alias("whole"))
+    return out.join(whole, "id").select(F.col("id").alias("doc_id"), F.size("embedding").alias("dimensions"), (F.col("embedding") == F.col("whole")).alias("as_in_one_go"))
 
 
 @_query("stream_average", f"WITH {_FLAT} SELECT label, pos, round(avg(x)::FLOAT::DOUBLE, 5) AS value FROM flat GROUP BY ALL")

@@ -13,10 +13,12 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodevec.errors import DimensionMismatchError, ValidationError
+from lodevec.functions import flat
 
 FORMATS = ("json", "binary", "base64")
 
@@ -64,21 +66,42 @@ def deserialize(data: bytes | str, how: str = "binary") -> tuple[list[np.ndarray
         raise ValidationError("the bytes aren't serialised vectors") from e
 
 
-def serialize_column(vectors: Column | str) -> Column:
-    """Binary version 2 of a column of arrays of vectors; null stays null."""
+def _check(how: str) -> None:
+    if how not in FORMATS:
+        raise ValidationError(f"unknown format {how!r}")
+
+
+def serialize_column(vectors: Column | str, how: str = "binary") -> Column:
+    """``serialize`` of a column of arrays of vectors: binary version 2, or text for JSON and base 64; null stays null."""
+    _check(how)
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("binary" if how == "binary" else "string")
     def pack(v: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else serialize(x) for x in v.to_pylist()], pa.binary())
+        inner = v.flatten()
+        values, sizes, _ = flat.flattened(inner)
+        values = values.astype("<f4")
+        counts = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+        rows, first = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+        out: list = []
+        for there, n, at in zip(v.is_valid().to_pylist(), counts.tolist(), rows.tolist()):
+            own = [values[first[i] : first[i] + sizes[i]] for i in range(at, at + n)]
+            out.append(serialize(own, how) if there else None)
+        return pa.array(out, pa.binary() if how == "binary" else pa.string())
 
     return pack(F.col(vectors) if isinstance(vectors, str) else vectors)
 
 
-def deserialize_column(blobs: Column | str) -> Column:
-    """The vectors of a column of binary values of either version."""
+def deserialize_column(blobs: Column | str, how: str = "binary") -> Column:
+    """The vectors of a column that ``serialize_column`` made, or of binary values of version 1."""
+    _check(how)
 
     @F.arrow_udf("array<array<float>>")
     def unpack(b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else deserialize(x)[0] for x in b.to_pylist()], pa.list_(pa.list_(pa.float32())))
+        found = [None if x is None else deserialize(x, how)[0] for x in b.to_pylist()]
+        vectors = [v for x in found if x is not None for v in x]
+        inner = flat.lists(np.concatenate([np.zeros(0, np.float32), *vectors]), np.array([len(v) for v in vectors], np.int64), np.ones(len(vectors), bool))
+        counts, valid = np.array([0 if x is None else len(x) for x in found], np.int64), np.array([x is not None for x in found], bool)
+        at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(at), inner, mask=pa.array(~valid)) if not valid.all() else pa.ListArray.from_arrays(pa.array(at), inner)
 
     return unpack(F.col(blobs) if isinstance(blobs, str) else blobs)

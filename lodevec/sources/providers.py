@@ -6,9 +6,11 @@ keep their keys. Transports are injected, so that nothing here needs a network i
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import random
+import threading
 import time
 import urllib.error
 import urllib.request
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.errors import ProviderError, ValidationError
+from lodevec.functions.flat import lists
 from lodevec.sources.cache import LruCache
 from lodevec.sources.models import REGISTRY
 
@@ -131,25 +134,51 @@ def retry_with_backoff(call: Callable, retries: int = 3, base: float = 1.0, long
     raise AssertionError
 
 
+def in_pool(tasks: list[Callable[[], object]], limit: int, on_done: Callable[[int], None] | None = None) -> list:
+    """Results of tasks in order, at most ``limit`` at a time. After the first failure no further task begins."""
+    if limit < 1:
+        raise ValidationError("concurrency must be positive")
+    out: list = [None] * len(tasks)
+    failed, lock, ahead, done = threading.Event(), threading.Lock(), iter(range(len(tasks))), 0
+
+    def run() -> None:
+        nonlocal done
+        while not failed.is_set():
+            with lock:
+                i = next(ahead, None)
+            if i is None:
+                return
+            try:
+                out[i] = tasks[i]()
+                with lock:
+                    done += 1
+                    if on_done:
+                        on_done(done)
+            except BaseException:
+                failed.set()
+                raise
+
+    with ThreadPoolExecutor(max(1, min(limit, len(tasks)))) as pool:
+        for worker in [pool.submit(run) for _ in range(min(limit, len(tasks)))]:
+            worker.result()
+    return out
+
+
 def auto_batch(texts: list[str], size: int, call: Callable[[list[str]], list], concurrency: int = 1, delay: float = 0.0, on_progress: Callable[[int, int], None] | None = None) -> list:
     """Results of slices of ``size`` texts, in order; in a pool if ``concurrency`` is over 1, else with a delay between them."""
     if size < 1 or concurrency < 1:
         raise ValidationError("size and concurrency must be positive")
     parts = [texts[i : i + size] for i in range(0, len(texts), size)]
-    out: list = []
+    tell = None if on_progress is None else lambda n: on_progress(n, len(parts))
     if concurrency > 1:
-        with ThreadPoolExecutor(concurrency) as pool:
-            for n, r in enumerate(pool.map(call, parts)):
-                out += r
-                if on_progress:
-                    on_progress(n + 1, len(parts))
-        return out
+        return [x for r in in_pool([functools.partial(call, p) for p in parts], concurrency, tell) for x in r]
+    out: list = []
     for n, part in enumerate(parts):
         if n and delay:
             time.sleep(delay)
         out += call(part)
-        if on_progress:
-            on_progress(n + 1, len(parts))
+        if tell:
+            tell(n + 1)
     return out
 
 
@@ -283,10 +312,11 @@ def with_cache(provider: Provider, max_size: int = 1000, ttl: float | None = Non
     return CachedProvider(provider, LruCache(max_size, ttl))
 
 
-def embed(df: DataFrame, provider: Provider, keys: Iterable[str] | None = None, text: str = "text", input_type: str | None = None) -> DataFrame:
+def embed(df: DataFrame, provider: Provider, keys: Iterable[str] | None = None, text: str = "text", input_type: str | None = None, concurrency: int = 1) -> DataFrame:
     """``df`` (or its columns ``keys``) with the column embedding; a null text has a null embedding.
 
-    A narrow step: nothing is shuffled. The provider travels with the function and must be picklable.
+    A narrow step: nothing is shuffled. The provider travels with the function and must be picklable; each
+    task has up to ``concurrency`` calls to it under way.
     """
     rest = list(keys) if keys is not None else [c for c in df.columns if c != "embedding"]
     rows = df.select(*rest, F.col(text).cast("string").alias("__text"))
@@ -297,10 +327,9 @@ def embed(df: DataFrame, provider: Provider, keys: Iterable[str] | None = None,
             texts = b.column(len(rest)).to_pylist()
             out: list = [None] * len(texts)
             real = [i for i, t in enumerate(texts) if t is not None]
-            for s in range(0, len(real), provider.batch_size):
-                part = real[s : s + provider.batch_size]
-                for i, v in zip(part, provider.embed([texts[i] for i in part], input_type).embeddings):
-                    out[i] = v
+            call = lambda part: provider.embed(part, input_type).embeddings
+            for i, v in zip(real, auto_batch([texts[i] for i in real], provider.batch_size, call, concurrency)):
+                out[i] = v
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(len(rest))), pa.array(out, pa.list_(pa.float32()))], names=[*rest, "embedding"])
 
     return rows.mapInArrow(work, f"{kinds}, embedding array<float>")
@@ -316,7 +345,7 @@ def project(df: DataFrame, matrix: np.ndarray, key: str = "vec_id", vector: str
         if not len(good):
             return pa.nulls(len(v), pa.list_(pa.float32()))
         flat = (good.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(good), -1) @ wide).astype(np.float32)
-        rows = iter(flat)
-        return pa.array([next(rows) if ok else None for ok in v.is_valid().to_pylist()], pa.list_(pa.float32()))
+        valid = v.is_valid().to_numpy(zero_copy_only=False)
+        return lists(flat.ravel(), np.where(valid, flat.shape[1], 0), valid)
 
     return df.select(key, times(F.col(vector)).alias("projected"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.errors import ValidationError
-from lodevec.sources.providers import Provider, Result, embed
+from lodevec.sources.providers import Provider, Result, embed, in_pool
 
 
 def batches(items: Iterable, size: int) -> Iterator[list]:
@@ -114,10 +116,11 @@ class EmbeddingPipeline:
     checkpoint: CheckpointAdapter | None = None
     checkpoint_interval: int = 10
     on_progress: Callable[[Progress], None] | None = None
+    concurrency: int = 1
 
     def __post_init__(self):
-        if self.batch_size < 1 or self.checkpoint_interval < 1:
-            raise ValidationError("batch_size and checkpoint_interval must be positive")
+        if self.batch_size < 1 or self.checkpoint_interval < 1 or self.concurrency < 1:
+            raise ValidationError("batch_size, checkpoint_interval and concurrency must be positive")
 
     def _limited(self, tasks: int) -> Provider:
         if self.requests_per_minute is None and self.tokens_per_minute is None:
@@ -130,7 +133,7 @@ class EmbeddingPipeline:
         new = rows.where(F.col("id").isNotNull())
         if done is not None:
             new = new.join(done.select("id"), "id", "left_anti")
-        return embed(new, self._limited(rows.sparkSession.sparkContext.defaultParallelism), keys=["id"])
+        return embed(new, self._limited(rows.sparkSession.sparkContext.defaultParallelism), keys=["id"], concurrency=self.concurrency)
 
     def run_into(self, rows: DataFrame, path: str) -> int:
         """Appends what is missing to the Parquet table at ``path``; returns the number of its rows."""
@@ -153,7 +156,10 @@ class EmbeddingPipeline:
         return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def run_local(self, texts: list[str], ids: list[str] | None = None) -> list[list[float] | None]:
-        """Embeds a list on the driver; batches whose ids are all done leave None. After an error the last saved state stays."""
+        """Embeds a list on the driver, ``concurrency`` batches at a time; batches whose ids are all done leave None.
+
+        After the first error no further batch begins, and the last saved state stays.
+        """
         ids = ids if ids is not None else [str(i) for i in range(len(texts))]
         if len(ids) != len(texts):
             raise ValidationError("there must be as many ids as texts")
@@ -164,20 +170,25 @@ class EmbeddingPipeline:
         out: list[list[float] | None] = [None] * len(texts)
         parts = list(batches(range(len(texts)), self.batch_size))
         limiter = RateLimiter(self.requests_per_minute, self.tokens_per_minute)
-        began, since = time.monotonic(), 0
-        for n, part in enumerate(parts):
-            if all(ids[i] in done for i in part):
-                continue
+        began, since, lock = time.monotonic(), 0, threading.Lock()
+        todo = [p for p in parts if not all(ids[i] in done for i in p)]
+
+        def task(part: list[int]) -> None:
+            nonlocal since
             own = [texts[i] for i in part]
-            limiter.wait(sum(map(len, own)))
+            with lock:
+                limiter.wait(sum(map(len, own)))
             for i, v in zip(part, self.provider.embed(own).embeddings):
                 out[i] = v
-            done.update(ids[i] for i in part)
-            since += 1
-            if self.on_progress:
-                self.on_progress(Progress(n + 1, len(parts), time.monotonic() - began))
-            if self.checkpoint and since % self.checkpoint_interval == 0:
-                self._save(done)
+            with lock:
+                done.update(ids[i] for i in part)
+                since += 1
+                if self.on_progress:
+                    self.on_progress(Progress(len(parts) - len(todo) + since, len(parts), time.monotonic() - began))
+                if self.checkpoint and since % self.checkpoint_interval == 0:
+                    self._save(done)
+
+        in_pool([functools.partial(task, p) for p in todo], self.concurrency)
         if self.checkpoint and since:
             self._save(done)
         return out

@@ -48,11 +48,13 @@ def test_clusters_of_tables(spark):
 
 def test_online_clusterer():
     own = C.IncrementalClusterer(C.GreedyConfig(0.8, 1, 5))
-    assert own.add_batch(enumerate(np.array(AXES))) == [0, 0, 0, 1, 1, 1]
+    assert own.add_batch(np.array(AXES)) == [0, 0, 0, 1, 1, 1]
     assert own.size == 6 and own.stats() == {"clusters": 2, "rows": 6, "average_size": 3.0}
     assert own.clusters()[0][0] == pytest.approx(np.mean(AXES[:3], axis=0), abs=1e-6)
-    own.rebalance(enumerate(np.array(AXES)))
-    assert own.assignments == {i: int(i > 2) for i in range(6)} and own.size == 6
+    assert own.rebalance(np.array(AXES)) == [0, 0, 0, 1, 1, 1] and own.size == 6
+    again = C.IncrementalClusterer(C.GreedyConfig(0.8, 1, 5))
+    again.restore(*own.state())
+    assert again.add(AXES[0]) == 0 and again.size == 7 and own.rebalance([]) == [] and own.size == 0 and set(vars(own)) == {"config", "_leader"}
 
 
 def naive_density(v, size):

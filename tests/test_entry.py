@@ -20,7 +20,7 @@ def cell(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", [n for n in own.ORACLE if n != "dedup_greedy"])
+@pytest.mark.parametrize("name", list(own.ORACLE))
 def test_queries_agree_with_their_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -34,7 +34,7 @@ def test_queries_agree_with_their_sql(spark, name):
 
 
 def test_entry_gives_rows(spark):
-    assert entry.entry(spark).count() == 5000
+    assert entry.entry(spark).count() == 50
 
 
 def test_every_oracle_has_a_query():

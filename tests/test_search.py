@@ -8,8 +8,10 @@ from lodevec.operators import search as S
 from lodevec.operators.blocks import scores
 from lodevec.operators.hnsw import HnswIndex, build
 from lodevec.operators.hnsw import search as hnsw_search
+from lodevec.operators.hnsw import update
 from lodevec.operators.index import EmbeddingStore, SearchIndex
 from lodevec.queries import QUERIES
+from lodevec.runtime import materialise
 from lodevec.sources.providers import HashProvider
 
 KIND = "vec_id long, embedding array<float>, label string"
@@ -96,12 +98,12 @@ def test_mmr_follows_its_definition(spark, lam):
     assert S.mmr_search(q, df, 0).count() == 0
 
 
-def test_mmr_query_asks_every_row(spark, tmp_path):
+def test_mmr_query_asks_every_hundredth_row(spark, tmp_path):
     v, _ = random_table(spark, 45, 6, 7)
-    spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i * 100, x.tolist(), i % 3) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {}
     for r in QUERIES["mmr_search"](spark, str(tmp_path)).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.id)
+        got.setdefault(r.query_id // 100, []).append(r.id // 100)
     s = scores(v.astype(float), v.astype(float), "cosine")
     assert len(got) == 45
     for q, ids in got.items():
@@ -136,10 +138,35 @@ def test_index_replaces_and_removes(spark):
     assert [r.id for r in index.search(q, where="id > 2").collect()] == []
 
 
+def test_results_hold_their_items(spark):
+    """Vectors and metadata come with the results, filters see them, ids may be text, and long use keeps the plan short."""
+    rows = spark.createDataFrame([("b", [1.0, 0.0], {"kind": "x"}), ("a", [1.0, 0.0], {"kind": "y"}), ("c", [0.0, 1.0], None)], "id string, embedding array<float>, metadata map<string,string>")
+    index = SearchIndex(spark, id_type="string").add(rows)
+    q = spark.createDataFrame([(0, [1.0, 0.1])], "query_id long, embedding array<float>")
+    got = index.search(q, 2).orderBy("rank").collect()
+    assert [(r.id, r.metadata, r.embedding) for r in got] == [("a", {"kind": "y"}, [1.0, 0.0]), ("b", {"kind": "x"}, [1.0, 0.0])]
+    assert [r.id for r in index.search(q, 3, where="metadata['kind'] = 'x'").collect()] == ["b"]
+    for i in range(20):
+        index = index.add(spark.createDataFrame([(f"n{i}", [0.5, float(i)])], "id string, embedding array<float>"))
+    assert index.size() == 23 and index.changes < 8 and index.items._jdf.queryExecution().logical().toString().count("Join") < 20
+
+
 def test_store_finds_its_texts(spark):
-    rows = spark.createDataFrame([(1, "cats purr softly"), (2, "stock markets fell"), (3, "bread needs yeast")], "id long, text string")
-    store = EmbeddingStore(spark, HashProvider(128)).add_batch(rows)
-    assert store.search("markets and stock", 1).first().id == 2
+    rows = spark.createDataFrame([(1, "cats purr softly", {"lang": "en"}), (2, "stock markets fell", {"lang": "en"}), (3, "bread needs yeast", {"lang": "fr"})], "id long, text string, metadata map<string,string>")
+
+    class Counting(HashProvider):
+        calls = 0
+
+        def embed(self, texts, input_type=None):
+            Counting.calls += 1
+            return super().embed(texts, input_type)
+
+    store = EmbeddingStore(spark, Counting(128), cache={"max_size": 10}).add_batch(rows)
+    before = Counting.calls
+    assert store.search("markets and stock", 1).first().id == 2 and store.search("markets and stock", 1).first().metadata == {"lang": "en"}
+    assert Counting.calls == before + 1  # the second time the text is known
+    assert [r.id for r in store.search("markets and stock", 3, where="metadata['lang'] = 'fr'").collect()] == [3]
+    assert store.add(4, "dogs bark", {"lang": "en"}).search("dogs bark", 1).first().id == 4
     assert store.remove(spark.createDataFrame([(2,)], "id long")).size() == 2
 
 
@@ -189,3 +216,61 @@ def test_shards_together_find_the_neighbours(spark):
     s = scores(v.astype(float), v.astype(float), "cosine")
     want = [set(np.argsort(-row)[:5].tolist()) for row in s]
     assert np.mean([len(want[r.query_id] & set(r.ids)) / 5 for r in got]) > 0.95
+
+
+def recall(index, v, q, k, ef):
+    want = np.argsort(-scores(q, v.astype(float), "cosine"), axis=1)[:, :k]
+    got = index.search_batch(q, k, ef)[0]
+    return np.mean([len(set(a) & set(b)) / k for a, b in zip(want.tolist(), got.tolist())])
+
+
+def test_graph_recall_at_a_thousand_vectors():
+    v = np.random.default_rng(0).uniform(-1, 1, (1000, 128)).astype(np.float32)
+    index = HnswIndex("cosine", 16, 200)
+    index.add_batch((str(i), x) for i, x in enumerate(v))
+    assert recall(index, v, np.random.default_rng(1).uniform(-1, 1, (50, 128)), 10, 100) > 0.95
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_graph_recall_of_groups(seed):
+    """Groups of near-equal vectors, whose nodes are linked to each other alone, at the query's own parameters."""
+    r = np.random.default_rng(seed)
+    v = (r.normal(size=(50, 32))[np.repeat(np.arange(50), 60)] + 0.05 * r.normal(size=(3000, 32))).astype(np.float32)
+    index = HnswIndex()
+    index.add_batch((str(i), x) for i, x in enumerate(v))
+    assert recall(index, v, v[::30].astype(float), 10, 100) > 0.9
+
+
+def test_bulk_and_single_adding_agree():
+    """Links in bulk are those to the nearest earlier nodes, within their bounds, in both directions."""
+    v = np.random.default_rng(2).normal(size=(200, 8)).astype(np.float32)
+    index = HnswIndex("euclidean", 6, 300)
+    index.add_batch((str(i), x) for i, x in enumerate(v[:100]))
+    index.add_batch((str(i + 100), x, {"n": i}) for i, x in enumerate(v[100:]))
+    slow = HnswIndex("euclidean", 6, 300)
+    for i, x in enumerate(v):
+        slow.add(str(i), x)
+    assert [len(x) for x in index.links] == [len(x) for x in slow.links] and index.entry == slow.entry and index.get("150")[2] == {"n": 50}
+    same = sum(a == b for x, y in zip(index.links, slow.links) for a, b in zip(x, y))
+    assert same > 0.95 * sum(map(len, slow.links))
+    for layer_of in index.links:
+        assert all(len(near) <= (12 if layer == 0 else 6) for layer, near in enumerate(layer_of))
+    assert all(n in index.links[x][layer] for n, layers in enumerate(index.links) for layer, near in enumerate(layers) for x in near)
+    index.add_batch([("7", v[0])] * 70)
+    assert len(index) == 200 and index.search(v[0], 2)[0][1] == pytest.approx(1)
+    found, _ = index.search_batch(v[:5].astype(float), 3, keep=lambda key, meta: meta is not None)
+    assert all(index.meta[n] is not None for n in found[found >= 0])
+
+
+def test_saved_graph_changes(spark):
+    v, df = random_table(spark, 120, 8, 5)
+    df = df.withColumn("meta", F.create_map(F.lit("even"), (F.col("vec_id") % 2 == 0).cast("string")))
+    index = materialise(build(df.where("vec_id < 100"), shard_rows=40, metadata="meta"), "graph")
+    new = materialise(update(index, df.where("vec_id >= 100"), df.where("vec_id < 10"), metadata="meta"), "graph")
+    q = df.select(F.col("vec_id").alias("query_id"), "embedding")
+    first = {r.query_id: (r.id, r.metadata) for r in hnsw_search(new, q, 1, with_metadata=True).collect()}
+    assert all(first[i] == (i, {"even": str(i % 2 == 0).lower()}) for i in range(10, 120)) and all(first[i][0] != i for i in range(10))
+    kept = hnsw_search(new, q, 5, keep=lambda key, meta: meta["even"] == "true").collect()
+    assert kept and all(r.id % 2 == 0 for r in kept)
+    names = hnsw_search(build(df.withColumn("vec_id", F.concat(F.lit("k"), "vec_id"))), q, 1, id_type="string").collect()
+    assert {(r.query_id, r.id) for r in names} == {(i, f"k{i}") for i in range(120)}

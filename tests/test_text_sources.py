@@ -1,5 +1,8 @@
+import functools
 import json
+import os
 import struct
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -265,3 +268,77 @@ def test_streams(spark, tmp_path):
     assert clusterer.size == 12 and spark.read.parquet(str(tmp_path / "c")).count() == 12
     mean = online.averages(spark, src, schema, []).first()
     assert mean.embedding == [1.5, 1.0] and mean["count"] == 12
+
+
+def test_pool_stops_at_the_first_failure():
+    begun = []
+
+    def task(i):
+        begun.append(i)
+        if i == 3:
+            raise ProviderError("no", "p", 400)
+        return i * 2
+
+    assert P.in_pool([functools.partial(task, i) for i in (0, 1, 2)], 2) == [0, 2, 4]
+    begun.clear()
+    with pytest.raises(ProviderError):
+        P.in_pool([functools.partial(task, i) for i in range(100)], 1)
+    assert begun == [0, 1, 2, 3]
+    with pytest.raises(ProviderError):
+        P.auto_batch(list(range(100)), 1, lambda part: [task(part[0])], concurrency=2)
+    assert len(begun) < 50 and P.in_pool([], 3) == []
+
+
+def test_pipeline_calls_at_a_time(tmp_path):
+    import threading
+    import time
+
+    class Slow(P.HashProvider):
+        now, most, lock = 0, 0, threading.Lock()
+
+        def embed(self, texts, input_type=None):
+            with Slow.lock:
+                Slow.now += 1
+                Slow.most = max(Slow.most, Slow.now)
+            time.sleep(0.05)
+            with Slow.lock:
+                Slow.now -= 1
+            return super().embed(texts, input_type)
+
+    texts, seen = [f"text {i}" for i in range(20)], []
+    run = EmbeddingPipeline(Slow(8), batch_size=2, concurrency=3, checkpoint=FileCheckpoint(str(tmp_path / "c")), on_progress=seen.append)
+    assert run.run_local(texts) == P.HashProvider(8).embed(texts).embeddings and 2 <= Slow.most <= 3
+    assert [p.done_batches for p in seen] == list(range(1, 11)) and run.run_local(texts) == [None] * 20
+
+
+@pytest.mark.parametrize("how", codec.FORMATS)
+def test_codec_columns(spark, how):
+    rows = [(0, [[1.0, 2.0], [3.0, 4.5]]), (1, None), (2, []), (3, [[0.25]])]
+    df = spark.createDataFrame(rows, "id int, v array<array<float>>")
+    packed = df.select("id", codec.serialize_column("v", how).alias("b"))
+    for r in packed.collect():
+        assert r.b is None if rows[r.id][1] is None else (bytes(r.b) if how == "binary" else r.b) == codec.serialize(rows[r.id][1], how)
+    assert {r.id: r.v for r in packed.select("id", codec.deserialize_column("b", how).alias("v")).collect()} == dict(rows)
+
+
+def test_windows_over_several_batches(spark, tmp_path):
+    """Windows that later batches change have their last value; events behind the watermark are left out."""
+    kind = "ts timestamp, event_type string, value double"
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    for i, rows in enumerate(([(at(1), "a", 1.0), (at(1, 30), "a", 2.0)], [(at(1, 45), "a", 4.0), (at(9), "b", 1.0)], [(at(1, 50), "a", 64.0), (at(9, 30), "b", 1.0)])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        os.utime(next(p for p in sorted((tmp_path / "events").glob("*.parquet"), key=os.path.getmtime, reverse=True)), (i * 100 + 1e9, i * 100 + 1e9))
+    got = online.event_windows(spark, str(tmp_path / "events"), spark.createDataFrame([], kind).schema, files_a_batch=1).collect()
+    assert sorted((r.event_type, r.window_start.hour, r.n, r.total) for r in got) == [("a", 1, 3, 7.0), ("b", 9, 2, 2.0)]
+
+
+def test_stream_of_batches_is_one_online_clustering(spark, tmp_path):
+    v = np.random.default_rng(0).normal(size=(60, 3)).astype(np.float32)
+    for i in range(3):
+        spark.createDataFrame([(k, v[k].tolist()) for k in range(i * 20, i * 20 + 20)], "vec_id long, embedding array<float>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        os.utime(next(p for p in sorted((tmp_path / "in").glob("*.parquet"), key=os.path.getmtime, reverse=True)), (i * 100 + 1e9, i * 100 + 1e9))
+    whole = spark.read.parquet(str(tmp_path / "in"))
+    own = IncrementalClusterer(GreedyConfig(0.8))
+    online.cluster_stream(online.file_stream(spark, str(tmp_path / "in"), whole.schema, 1), own, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    want = {r.vec_id: r.cluster_id for r in online.cluster_batches(whole, GreedyConfig(0.8)).collect()}
+    assert {r.vec_id: r.cluster_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want and own.size == 60 and len(own.clusters()) == max(want.values()) + 1
