@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodevec.llm.pieces import MODEL, encoder, slices
+from lodevec.llm.pieces import MODEL
+from lodevec.llm.wordcache import encoder
 from lodevec.runtime import materialise, read_table
 
 #: Tokens of a training sequence.
@@ -105,8 +106,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, text: str = "text", key: s
     def count(batches):
         enc = encoder(model)
         for b in batches:
-            texts = b.column(1)
-            n = [enc.encode(texts.slice(i, j - i).to_pylist())[1] for i, j in slices(texts)]
+            n = [counts for _, _, _, counts in enc(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(n) if n else np.zeros(0, np.int64))], names=["doc_id", "n_tokens"])
 
     return rows.mapInArrow(count, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")

@@ -1,78 +1,17 @@
-"""Token ids of whole texts in a worker, by a public SentencePiece model and a bounded word cache.
-
-With this kind of model no merge crosses from a word into the space before the next one, so a text
-whose words are parted by single spaces is encoded word by word; the ids of a word are kept. Texts
-with runs of spaces, a space at an end or the space mark itself are encoded in one go. Both ways
-give exactly the library's ids.
-"""
+"""The public model that is used where none is given, and runs of whole texts for a worker."""
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
-import sentencepiece
-
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words and ids of words a worker keeps; memory only, the ids don't depend on it.
-CACHE_WORDS, CACHE_IDS = 400_000, 8_000_000
-
 
-class PieceEncoder:
-    def __init__(self, model: str):
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.vocab = self.sp.vocab_size()
-        self._clear()
+from lodevec.llm.textbytes import buffers
 
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each text)."""
-        words: list[str] = []
-        n_words, whole = np.zeros(len(texts), np.int64), []
-        for i, t in enumerate(texts):
-            if not t:
-                continue
-            if "  " in t or t[0] == " " or t[-1] == " " or "▁" in t:
-                whole.append(t)
-                words.append(t)
-                n_words[i] = 1
-            else:
-                own = t.split(" ")
-                words += own
-                n_words[i] = len(own)
-        if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
-            self._clear()
-        index = self.index
-        if new := [w for w in set(words) if w not in index]:
-            ids = self.sp.encode(new, num_threads=1)
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            index.update(zip(new, range(len(self.at) - 1, len(self.at) - 1 + len(new))))
-            self.flat = np.concatenate([self.flat, np.fromiter((x for w in ids for x in w), np.int32, int(lens.sum()))])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(lens)])
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        lens = self.at[at + 1] - self.at[at]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        out = self.flat[np.repeat(self.at[at] - (ends - lens), lens) + np.arange(total)]
-        counts = np.bincount(np.repeat(np.arange(len(texts)), n_words), weights=lens, minlength=len(texts)).astype(np.int64)
-        for t in whole:  # whole texts aren't worth keeping
-            index.pop(t, None)
-        return out, counts
-
-
-@cache
-def encoder(model: str) -> PieceEncoder:
-    return PieceEncoder(model)
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def slices(texts: pa.Array, run_bytes: int = 1 << 20):
     """(first, last) of runs of whole texts of about ``run_bytes``."""
-    from lodevec.llm.textbytes import buffers
-
     _, offsets = buffers(texts)
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevec.llm.pieces import MODEL, encoder, slices
+from lodevec.llm.pieces import MODEL
+from lodevec.llm.wordcache import encoder
 from lodevec.runtime import read_table
 
 #: Ids of a block; a multiple of 8, so that full blocks end at whole bytes at any width.
@@ -90,9 +91,7 @@ def tokenise(docs: DataFrame, model: str = MODEL, block: int = BLOCK, text: str
         enc = encoder(model)
         bits = width(enc.vocab)
         for b in batches:
-            texts = b.column(1)
-            for i, j in slices(texts):
-                ids, n = enc.encode(texts.slice(i, j - i).to_pylist())
+            for i, j, ids, n in enc(b.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), pa.array(n), pa.array(np.full(j - i, bits, np.int32)), pa.array(np.full(j - i, block, np.int32)), _offsets(n, bits, block), _packed(ids, n, bits)],
                     names=["doc_id", "n_tokens", "bits", "block_len", "block_offsets", "packed"],

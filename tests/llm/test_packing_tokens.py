@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodevec.llm import lattice, packing, tokenbin
+from lodevec.llm import lattice, packing, tokenbin, wordcache
 from lodevec.llm.pieces import MODEL
 
 from .conftest import prose
@@ -100,6 +101,20 @@ def test_bits_round_trip(bits, data):
     assert len(packed) == -(-len(ids) * bits // 8) and tokenbin.unpack_ids(packed, len(ids), bits).tolist() == ids.tolist()
 
 
+def test_word_cache_gives_the_library_s_ids(monkeypatch):
+    """Odd spaces and signs, words that share slots, and a cache that is emptied on the way."""
+    monkeypatch.setattr(wordcache, "SLOT_BITS", 4)
+    monkeypatch.setattr(wordcache, "CACHE_IDS", 500)
+    r = random.Random(2)
+    texts = ODD + ["".join(r.choice("abcdefgh et-*=/. \n\t▁éß漢") for _ in range(r.randint(0, 90))) for _ in range(300)] + [" ", "\n ", None, " a", "a \t b"]
+    enc = wordcache.WordEncoder(MODEL)
+    for _ in range(2):
+        for k in range(0, len(texts), 40):
+            part = texts[k : k + 40]
+            for i, j, ids, n in enc(pa.array(part, pa.string())):
+                assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [SP.encode(t or "") for t in part[i:j]]
+
+
 def test_widths_and_bounds():
     assert [tokenbin.width(v) for v in (1, 2, 3, 32000, 32768, 32769)] == [1, 1, 2, 15, 15, 16]
     with pytest.raises(ValueError):
