@@ -96,7 +96,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     merged = F.map_concat(F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(fresh), k)), fresh)
     done = F.col("outcome") == "resolved"
     asked = asked.select(*names, "outcome", F.when(done, src["id"]).alias("source_id"), F.when(done, src["at"]).alias("source_captured"), F.when(done, merged).otherwise(own).alias("headers"))
-    bodies = r.where(full).groupBy(F.col("record_id").alias("__source")).agg(F.max("body").alias("body"))
+    stored_ones = records.where((F.col("kind") == "response") & (F.col("status") == 200) & F.col("record_id").isNotNull())
+    bodies = stored_ones.groupBy(F.col("record_id").alias("__source")).agg(F.max("body").alias("body"))
     found = asked.join(bodies, asked["source_id"] == bodies["__source"], "left").drop("__source")
     return alone.unionByName(found)
 
