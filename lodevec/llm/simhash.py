@@ -17,7 +17,7 @@ from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodevec.llm.textbytes import Hasher, lower, mix, runs, spans
@@ -87,20 +87,25 @@ def fingerprints_of(texts: pa.Array, signs: np.ndarray) -> tuple[np.ndarray, np.
     return out, has
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
-    """(row, doc_id, f0..f3) of the rows that have at least one word; ``row`` numbers them, by default as they are read."""
-    number = F.monotonically_increasing_id() if row is None else F.col(row)
-    rows = docs.select(number.alias("row"), F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
+def unit(text: Column, key: Column) -> list[Column]:
+    """128 bits of hash of a row's key and text: rows that share them are copies of one another."""
+    return [F.xxhash64(key, text).alias("u0"), F.xxhash64(F.lit(SEED), text, key).alias("u1")]
+
+
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(row, doc_id, u0, u1, f0..f3) of the rows that have at least one word: a number and hashes of their own, and the fingerprint."""
+    texts = F.col(text).cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), *unit(texts, F.col(key)), texts.alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sign(batches):
         signs = _signs()
         for b in batches:
-            fp, has = fingerprints_of(b.column(2), signs)
+            fp, has = fingerprints_of(b.column(4), signs)
             at = pa.array(np.flatnonzero(has))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(fp[has, k].view(np.int64)) for k in range(WORDS))], names=["row", "doc_id", *FP])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in range(4)), *(pa.array(fp[has, k].view(np.int64)) for k in range(WORDS))], names=["row", "doc_id", "u0", "u1", *FP])
 
-    return rows.where("text is not null").mapInArrow(sign, f"row bigint, doc_id {kind}, " + ", ".join(f"{x} bigint" for x in FP))
+    return rows.where("text is not null").mapInArrow(sign, f"row bigint, doc_id {kind}, u0 bigint, u1 bigint, " + ", ".join(f"{x} bigint" for x in FP))
 
 
 @dataclass(frozen=True)
@@ -310,7 +315,7 @@ def close_across(fp: np.ndarray, first: np.ndarray, radius: int, block: int = 25
 
 
 def _groups(own: DataFrame, radius: int, recall: float) -> DataFrame:
-    """(row, doc_id, keeper, kept_id): the rows with words and the row of their group that stays, from fingerprints.
+    """(doc_id, u0, u1, first, kept): the rows of groups, whether a row is the one that stays, and that one's key and hashes.
 
     The row of the least key stays, null keys last, then the first as they are numbered.
     """
@@ -318,10 +323,10 @@ def _groups(own: DataFrame, radius: int, recall: float) -> DataFrame:
     edges = materialise(near_edges(unique, unique.count(), radius, recall), "near-edges")
     roots = connected_components(edges)
     named = unique.join(roots.withColumnRenamed("node", "fid"), "fid", "left").select(*FP, F.coalesce("component", "fid").alias("root"))
-    found = materialise(own.join(named, FP).select("row", "doc_id", "root"), "rooted")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
-    keepers = found.groupBy("root").agg(first.alias("k"), F.count("*").alias("n")).where("n > 1")
-    return found.join(keepers, "root").select("row", "doc_id", F.col("k.row").alias("keeper"), F.col("k.doc_id").alias("kept_id"))
+    found = materialise(own.join(named, FP).select("row", "doc_id", "u0", "u1", "root"), "rooted")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row", "u0", "u1"))
+    keepers = found.groupBy("root").agg(least.alias("kept"), F.count("*").alias("n")).where("n > 1")
+    return found.join(keepers, "root").select("doc_id", "u0", "u1", (F.col("row") == F.col("kept.row")).alias("first"), "kept")
 
 
 def duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = TARGET_RECALL, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -335,23 +340,34 @@ def duplicates(docs: DataFrame, radius: int = RADIUS, recall: float = TARGET_REC
     columns, of any name, are neither read nor returned.
     """
     own = materialise(fingerprints(docs, text, key), "fingerprints")
-    return _groups(own, radius, recall).where("row <> keeper").select("doc_id", F.col("kept_id").alias("duplicate_of"))
+    return _groups(own, radius, recall).where("not first").select("doc_id", F.col("kept.doc_id").alias("duplicate_of"))
 
 
 def drop_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id", recall: float = TARGET_RECALL) -> DataFrame:
     """The rows without those that ``duplicates`` finds, with all their columns: one of each group stays.
 
-    Rows are numbered and written first, and go by their number, so that rows which share a key but not a
-    text are judged by themselves. The numbers to drop are broadcast only if they are few by count;
-    beyond that the join is a shuffled one.
+    Rows go by the hashes of their key and text, so that rows which share a key but not a text are judged by
+    themselves, and no copy of the documents is written; of rows that share both one stays. The hashes to
+    drop are broadcast only if they are few by count; beyond that the join is a shuffled one.
     """
-    row = "__row"
-    while row in docs.columns:
-        row += "_"
-    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    own = materialise(fingerprints(numbered, text, key, row), "fingerprints")
-    drop = materialise(_groups(own, radius, recall).where("row <> keeper").select(F.col("row").alias(row)), "dropped")
-    return numbered.join(broadcast_if_small(drop, drop.count(), 16), row, "left_anti").drop(row)
+    own = materialise(fingerprints(docs, text, key), "fingerprints")
+    others = _groups(own, radius, recall).where("not first")
+    same = (F.col("u0") == F.col("kept.u0")) & (F.col("u1") == F.col("kept.u1"))
+    goes = materialise(others.select("u0", "u1", same.alias("same")).distinct(), "dropped")
+    counts = {r.same: r["count"] for r in goes.groupBy("same").count().collect()}
+    hashes = unit(F.col(text).cast("string"), F.col(key))
+
+    def side(which: bool) -> tuple[DataFrame, Column]:
+        part = goes.where(F.col("same") == which).select(F.col("u0").alias("__u0"), F.col("u1").alias("__u1"))
+        return broadcast_if_small(part, counts.get(which, 0), 32), (hashes[0] == F.col("__u0")) & (hashes[1] == F.col("__u1"))
+
+    kept = docs.join(*side(False), "left_anti")
+    if not counts.get(True):
+        return kept
+    repeated = kept.join(*side(True), "left_semi")
+    names = [f"__unit{k}{'_' * max(map(len, docs.columns))}" for k in (0, 1)]
+    once = repeated.withColumns(dict(zip(names, hashes))).dropDuplicates(names).drop(*names)
+    return kept.join(*side(True), "left_anti").unionByName(once)
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
