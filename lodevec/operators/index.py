@@ -86,11 +86,11 @@ class EmbeddingStore:
         return out
 
     def add_batch(self, rows: DataFrame) -> EmbeddingStore:
-        """With rows (id, text and perhaps metadata, a map), which the workers embed."""
+        """With rows (id, text and perhaps metadata, a map), which the workers embed, once: the items are read several times."""
         from lodevec.sources.providers import embed
 
         kept = ["id", "metadata"] if "metadata" in rows.columns else ["id"]
-        return self._with(self.index.add(embed(rows, self.provider, keys=kept, input_type="document")))
+        return self._with(self.index.add(materialise(embed(rows, self.provider, keys=kept, input_type="document"), "embedded")))
 
     def add(self, key, text: str, metadata: dict[str, str] | None = None) -> EmbeddingStore:
         vector = self.near.embed([text], "document").embeddings[0]
@@ -101,7 +101,7 @@ class EmbeddingStore:
         """(query_id, rank, id, score, embedding, metadata) for rows (query_id, text)."""
         from lodevec.sources.providers import embed
 
-        return self.index.search(embed(queries, self.provider, keys=["query_id"], input_type="query"), k, threshold, where)
+        return self.index.search(materialise(embed(queries, self.provider, keys=["query_id"], input_type="query"), "embedded"), k, threshold, where)
 
     def search(self, text: str, k: int = 10, threshold: float | None = None, where: Column | str | None = None) -> DataFrame:
         return self.search_by_embedding(self.near.embed([text], "query").embeddings[0], k, threshold, where)

@@ -342,3 +342,48 @@ def test_stream_of_batches_is_one_online_clustering(spark, tmp_path):
     online.cluster_stream(online.file_stream(spark, str(tmp_path / "in"), whole.schema, 1), own, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     want = {r.vec_id: r.cluster_id for r in online.cluster_batches(whole, GreedyConfig(0.8)).collect()}
     assert {r.vec_id: r.cluster_id for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want and own.size == 60 and len(own.clusters()) == max(want.values()) + 1
+
+
+def test_hashed_sums_are_those_of_single_tokens(monkeypatch):
+    """Words and trigrams one by one, over pieces, slots that are shared and a table of words that is full."""
+    import hashlib
+
+    texts = ["", "a", "ab", "A b\tc", "ab " * 40, "İstanbul ÄÖ 漢字漢字 \U0001f600\U0001f601 z", "x" * 300, "the cat sat on the mat " * 9, "\ud800ab"]
+    want = np.zeros((len(texts), 16))
+    for row, t in zip(want, map(str.lower, texts)):
+        for token in [*t.split(), *(t[i : i + 3] for i in range(len(t) - 2))]:
+            h = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            row[h % 16] += 1.0 if h >> 63 else -1.0
+    for name, value in (("PIECE", 50), ("MOST_WORDS", 3), ("TRIGRAM_SLOTS", 4), ("_known", []), ("_words", {})):
+        monkeypatch.setattr(P, name, value)
+    assert (P._token_sums(texts, 16) == want).all() and (P._token_sums(texts, 16) == want).all()
+
+
+def test_equal_tokens_are_hashed_once(monkeypatch):
+    asked = []
+    real = P._token_hash
+    monkeypatch.setattr(P, "_known", [])
+    monkeypatch.setattr(P, "_words", {})
+    monkeypatch.setattr(P, "_token_hash", lambda token: asked.append(token) or real(token))
+    P.HashProvider(8).embed(["one two two"] * 50)
+    P.HashProvider(16).embed(["one two two"] * 50)
+    assert len(asked) == len(set(asked)) + sum(x in ("one", "two") for x in set(asked))  # as a word and as a trigram
+
+
+def test_store_embeds_a_text_once(spark, tmp_path):
+    from lodevec.operators.index import EmbeddingStore
+
+    class Noted(P.HashProvider):
+        def embed(self, texts, input_type=None):
+            for t in texts:
+                with open(self.path, "a") as f:
+                    f.write(f"{t}\n")
+            return super().embed(texts, input_type)
+
+    provider = Noted(8)
+    provider.path = str(tmp_path / "asked")
+    docs = spark.createDataFrame([(i, f"text number{i}") for i in range(6)], "id long, text string")
+    asked = spark.createDataFrame([(1, "what text")], "query_id long, text string")
+    assert EmbeddingStore(spark, provider).add_batch(docs).search_texts(asked, 3).count() == 3
+    lines = open(provider.path).read().split("\n")[:-1]
+    assert sorted(lines) == sorted([f"text number{i}" for i in range(6)] + ["what text"])
