@@ -277,6 +277,35 @@ class HnswIndex:
             out_d[at : at + m, : order.shape[1]] = np.where(kept, np.take_along_axis(d, order, 1), np.inf)
         return out_n, out_d
 
+    def verified(self, vectors: np.ndarray, found: np.ndarray, k: int, order: np.ndarray, keep=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, node, distance) of exactly the k nearest, given the distances that ``search_batch`` found.
+
+        The last distance found bounds the answer, and a product with all items shows what the graph missed.
+        Scores are compared when rounded to 9 digits, then by ``order``, a value of each node.
+        """
+        q, out = np.ascontiguousarray(vectors, np.float64), []
+        stay = ~np.array(self.dead, bool)
+        if keep is not None:
+            stay &= np.array([keep(key, meta) for key, meta in zip(self.ids, self.meta)], bool)
+        nodes = np.flatnonzero(stay)
+        place = np.argsort(np.argsort(order[nodes], kind="stable"), kind="stable")
+        rows = max(1, (4 << 20) // max(1, len(nodes)))
+        for at in range(0, len(q) if len(nodes) else 0, rows):
+            own = q[at : at + rows]
+            s = blocks.scores(own, self._v[nodes], self.metric)
+            last = found[at : at + rows, -1]
+            bound = (1 - last if self.metric in ("cosine", "dot") else 1 / (1 + last)) - 1e-8
+            row, col = np.nonzero(s >= np.where(np.isfinite(last), bound, -np.inf)[:, None])
+            by = np.lexsort((place[col], -np.round(s[row, col], 9), row))
+            row, col = row[by], col[by]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, col = row[first], col[first]
+            d = 1 - s[row, col] if self.metric in ("cosine", "dot") else 1 / s[row, col] - 1
+            out.append((row + at, nodes[col], d))
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*out))
+
     def get(self, key: str):
         n = self.at.get(key)
         return None if n is None else (key, self._v[n].astype(np.float32), self.meta[n])
@@ -428,11 +457,12 @@ def update(index: DataFrame, add: DataFrame | None = None, remove: DataFrame | N
     return index.groupBy("shard").cogroup(new.withColumn("shard", _shard(shards)).groupBy("shard")).applyInPandas(change, _SHARD)
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = 100, query_key: str = "query_id", vector: str = "embedding", keep: Callable[[str, object], bool] | None = None, with_metadata: bool = False, id_type: str = "bigint") -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = 100, query_key: str = "query_id", vector: str = "embedding", keep: Callable[[str, object], bool] | None = None, with_metadata: bool = False, id_type: str = "bigint", exact: bool = False) -> DataFrame:
     """(query_id, rank, id, score and perhaps metadata): about the k nearest items of every query.
 
     ``keep(id, metadata)`` filters what the search found, as it isn't part of the graph; ``metadata`` is a map.
-    A shard is read once for about ``QUERY_ROWS`` queries.
+    A shard is read once for about ``QUERY_ROWS`` queries. ``exact``: the graph's answers are verified by a
+    product with the shard's items, so that they are exactly the nearest, ties by id.
     """
     if k < 1:
         raise ValidationError("k must be positive")
@@ -450,8 +480,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int = 100, que
         ids = [x.values.to_numpy() for x in rows.column("ids")]
         q = np.concatenate([blocks.matrix(x, len(i)) for x, i in zip(rows.column("flat"), ids)])
         node, d = own.search_batch(q, k, ef, keep)
-        row, col = np.nonzero(node >= 0)
-        hit, s = node[row, col], d[row, col]
+        if exact:
+            ids_of = np.array(own.ids)
+            row, hit, s = own.verified(q, d, k, ids_of if id_type == "string" else ids_of.astype(np.int64), keep)
+        else:
+            row, col = np.nonzero(node >= 0)
+            hit, s = node[row, col], d[row, col]
         s = 1 - s if own.metric in ("cosine", "dot") else 1 / (1 + s)
         meta = [json.dumps(own.meta[n]) if with_metadata and own.meta[n] is not None else None for n in hit.tolist()]
         return pa.table({"query_id": np.concatenate(ids)[row], "id": pa.array([own.ids[n] for n in hit.tolist()], pa.string()), "score": s, "metadata": pa.array(meta, pa.string())})

@@ -274,3 +274,19 @@ def test_saved_graph_changes(spark):
     assert kept and all(r.id % 2 == 0 for r in kept)
     names = hnsw_search(build(df.withColumn("vec_id", F.concat(F.lit("k"), "vec_id"))), q, 1, id_type="string").collect()
     assert {(r.query_id, r.id) for r in names} == {(i, f"k{i}") for i in range(120)}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean", "manhattan"])
+def test_verified_answers_are_the_nearest_however_poor_the_graph(spark, metric):
+    """A thin graph and groups of copies, more than k in each: exact scores, and ties by number rather than by text."""
+    r = np.random.default_rng(5)
+    v = np.concatenate([np.repeat(r.normal(size=(15, 6)), 14, 0), r.normal(size=(190, 6))]).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    q = df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    got = hnsw_search(build(df, metric, m=2, ef_construction=2, shard_rows=150), q, 10, ef=10, exact=True)
+    s = np.round(scores(v[::20].astype(float), v.astype(float), metric), 9)
+    want = np.lexsort((np.broadcast_to(np.arange(len(v)), s.shape), -s), axis=1)[:, :10]
+    rows = got.toPandas().sort_values(["query_id", "rank"])
+    assert rows["id"].to_numpy().reshape(-1, 10).tolist() == want.tolist()
+    few = hnsw_search(build(df.limit(4), metric), q, 10, exact=True, keep=lambda key, meta: key != "2")
+    assert {(x.query_id, x.id) for x in few.collect()} == {(i, j) for i in range(0, 400, 20) for j in (0, 1, 3)}
