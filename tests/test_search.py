@@ -290,3 +290,15 @@ def test_verified_answers_are_the_nearest_however_poor_the_graph(spark, metric):
     assert rows["id"].to_numpy().reshape(-1, 10).tolist() == want.tolist()
     few = hnsw_search(build(df.limit(4), metric), q, 10, exact=True, keep=lambda key, meta: key != "2")
     assert {(x.query_id, x.id) for x in few.collect()} == {(i, j) for i in range(0, 400, 20) for j in (0, 1, 3)}
+
+
+def test_many_pairs_of_the_expression_go_by_tiles(spark, monkeypatch):
+    v, df = random_table(spark, 120, 6, 9)
+    q = df.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    plan = lambda out: out._jdf.queryExecution().executedPlan().toString()
+    rows = lambda out: [(r.query_id, r["rank"], r.id, round(r.score, 9)) for r in out.orderBy("query_id", "rank").collect()]
+    few = S.top_k_multi(q, df, 7, strategy="expression")
+    monkeypatch.setattr(S, "EXPRESSION_PAIRS", 12 * 120 - 1)
+    many = S.top_k_multi(q, df, 7, strategy="expression")
+    assert any(x in plan(few) for x in ("NestedLoop", "Cartesian")) and not any(x in plan(many) for x in ("NestedLoop", "Cartesian"))
+    assert rows(few) == rows(many) and len(rows(many)) == 12 * 7
