@@ -302,3 +302,16 @@ def test_many_pairs_of_the_expression_go_by_tiles(spark, monkeypatch):
     many = S.top_k_multi(q, df, 7, strategy="expression")
     assert any(x in plan(few) for x in ("NestedLoop", "Cartesian")) and not any(x in plan(many) for x in ("NestedLoop", "Cartesian"))
     assert rows(few) == rows(many) and len(rows(many)) == 12 * 7
+
+
+@pytest.mark.parametrize("k", [None, 2, 5])
+def test_judgements_of_a_topic_count_for_each_of_its_queries(spark, k):
+    """As if they were repeated for each query; also without a topic, without judgements, without results."""
+    r = np.random.default_rng(7)
+    topics = spark.createDataFrame([(q, ["a", "b", "c", None][q % 4]) for q in range(12)] + [(50, "a")], "query_id long, topic string")
+    res = spark.createDataFrame([(q, i + 1, int(x)) for q in range(12) for i, x in enumerate(r.permutation(30)[: 1 + q % 7])], "query_id long, rank int, id long")
+    rel = spark.createDataFrame([(t, int(x), float(r.integers(-1, 4))) for t in "ab" for x in r.integers(0, 30, 20)], "topic string, id long, relevance double")
+    each = topics.join(rel, "topic").select("query_id", "id", "relevance")
+    rows = lambda out: {x.query_id: pytest.approx(tuple(x)[1:]) for x in out.collect()}
+    got, want = E.evaluate(res, rel, k, topics), E.evaluate(res, each, k)
+    assert {x.query_id: tuple(x)[1:] for x in got.collect()} == rows(want) and got.count() == 13
