@@ -232,3 +232,21 @@ def test_running_means_equal_whole_ones(spark):
         assert got[g][0] == pytest.approx(v[g::2].mean(0), abs=1e-5) and got[g][1] == 10
     step = df.where("vec_id = 1").select(G.incremental_average(F.array(*[F.lit(0.0)] * 4), "embedding", 1).alias("m")).first().m
     assert step == pytest.approx(v[1] / 2, abs=1e-6)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine", "manhattan"])
+def test_density_by_tiles_is_that_of_one_task(spark, monkeypatch, metric):
+    """Blobs, noise, copies and a repeated key, in strips of a few rows."""
+    from lodevec.operators import blocks
+
+    r = np.random.default_rng(11)
+    v = np.concatenate([r.normal(c, 0.4, (40, 4)) for c in (-4, 0, 5)] + [r.normal(0, 6, (40, 4)), np.repeat(r.normal(size=(3, 4)), 9, 0)]).astype(np.float32)[r.permutation(187)]
+    df = table(spark, v).repartition(3)
+    for name, value in (("BLOCK_ROWS", 7), ("STRIP_ROWS", 40)):
+        monkeypatch.setattr(blocks, name, value)
+    want = C.density_labels(v.astype(float), 5, None, metric)
+    monkeypatch.setattr(C, "DENSITY_ROWS", 20)
+    monkeypatch.setattr(C, "density_labels", None)
+    got = {x.vec_id: x.cluster_id for x in C.hdbscan(df, 5, None, metric).collect()}
+    assert [got[i] for i in range(187)] == want.tolist() and len(set(want.tolist())) > 2
+    assert C.hdbscan(df.unionByName(df.where("vec_id < 5")).unionByName(df.limit(1).withColumn("vec_id", F.lit(None).cast("long"))), 5, None, metric).count() == 192
