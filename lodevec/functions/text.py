@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from math import ceil, floor
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,13 +184,31 @@ def structure_chunks(text: str | None, max_tokens: int | None = None, overlap: i
     return out
 
 
-def chunk_by_structure(df: DataFrame, max_tokens: int | None = None, overlap: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, chunk_no, chunk, headings, offset, type) by ``structure_chunks``; null and blank texts have no chunk."""
-    kind = pa.list_(pa.struct([("text", pa.string()), ("headings", pa.list_(pa.string())), ("offset", pa.int32()), ("type", pa.string())]))
+#: Texts and characters that a worker splits before it hands their chunks on, about.
+SLICE_ROWS, SLICE_CHARS = 64, 1 << 20
+
 
-    @F.arrow_udf("array<struct<text:string,headings:array<string>,offset:int,type:string>>")
-    def chunk(texts: pa.Array) -> pa.Array:
-        return pa.array([structure_chunks(t, max_tokens, overlap) for t in texts.to_pylist()], kind)
+def chunk_by_structure(df: DataFrame, max_tokens: int | None = None, overlap: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, chunk_no, chunk, headings, offset, type) by ``structure_chunks``; null and blank texts have no chunk.
 
-    rows = df.select(F.col(key).alias("doc_id"), F.posexplode(chunk(F.col(text))).alias("chunk_no", "c"))
-    return rows.select("doc_id", "chunk_no", F.col("c.text").alias("chunk"), "c.headings", "c.offset", "c.type")
+    Texts are split a few at a time, so that a worker holds their chunks alone beside the batch that it was given.
+    """
+    rows = df.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("__text"))
+    kind = pa.schema([("chunk_no", pa.int32()), ("chunk", pa.string()), ("headings", pa.list_(pa.string())), ("offset", pa.int32()), ("type", pa.string())])
+
+    def split(batches):
+        for b in batches:
+            sizes = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(b):
+                within = int(np.searchsorted(np.cumsum(sizes[at : at + SLICE_ROWS]), SLICE_CHARS, "right"))
+                own = b.slice(at, max(1, within))
+                at += len(own)
+                found = [structure_chunks(t.as_py(), max_tokens, overlap) for t in own.column(1)]
+                row = np.repeat(np.arange(len(own)), [len(x) for x in found])
+                chunks = [{"chunk_no": n, "chunk": c["text"], "headings": c["headings"], "offset": c["offset"], "type": c["type"]} for x in found for n, c in enumerate(x)]
+                if chunks:
+                    part = pa.RecordBatch.from_pylist(chunks, kind)
+                    yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(row)), *part.columns], names=["doc_id", *kind.names])
+
+    return rows.mapInArrow(split, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, chunk_no int, chunk string, headings array<string>, offset int, type string")

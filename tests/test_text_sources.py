@@ -387,3 +387,15 @@ def test_store_embeds_a_text_once(spark, tmp_path):
     assert EmbeddingStore(spark, provider).add_batch(docs).search_texts(asked, 3).count() == 3
     lines = open(provider.path).read().split("\n")[:-1]
     assert sorted(lines) == sorted([f"text number{i}" for i in range(6)] + ["what text"])
+
+
+def test_structure_is_chunked_a_few_texts_at_a_time(spark, monkeypatch):
+    """Batches are handed on slice by slice; the rows are those of whole batches, keys of any type."""
+    monkeypatch.setattr(T, "SLICE_ROWS", 3)
+    monkeypatch.setattr(T, "SLICE_CHARS", 60)
+    texts = ["# a\n\nOne. Two. Three.", None, "", "plain " * 30, "- x\n- y", "# b\n\n```\ncode\n```", "é" * 70, "last"]
+    df = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").coalesce(1)
+    want = [(f"k{i}", n, c["text"], c["headings"], c["offset"], c["type"]) for i, t in enumerate(texts) for n, c in enumerate(T.structure_chunks(t, 3, 1))]
+    out = T.chunk_by_structure(df, 3, 1)
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want) and out.columns == ["doc_id", "chunk_no", "chunk", "headings", "offset", "type"]
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
