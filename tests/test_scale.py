@@ -146,3 +146,34 @@ def test_flat_arrays_round_trip():
 def test_thresholds_are_checked(spark):
     with pytest.raises(ValidationError):
         S.deduplicate(table(spark, np.ones((2, 2))), float("inf"))
+
+
+@pytest.mark.parametrize("metric,threshold", [("cosine", 0.6), ("euclidean", 0.4), ("dot", 3.0)])
+def test_tiles_count_links_and_write_a_forest(spark, monkeypatch, metric, threshold):
+    """Chains, groups and copies over several strips, by brute force; fewer rows are written than there are pairs."""
+    for name, value in (("BLOCK_ROWS", 7), ("STRIP_ROWS", 40)):
+        monkeypatch.setattr(blocks, name, value)
+    r = np.random.default_rng(12)
+    v = np.concatenate([r.normal(size=(90, 4)), np.repeat(r.normal(size=(4, 4)), 5, 0), r.normal(2, 0.2, (80, 4))]).astype(np.float32)
+    n, s = len(v), blocks.scores(v.astype(float), v.astype(float), metric)
+    near = (s >= threshold) & ~np.eye(n, dtype=bool)
+    label = np.arange(n)
+    for _ in range(n):
+        label = np.minimum(label, np.where(near, label[None], n).min(1))
+    written = []
+    monkeypatch.setattr(S, "materialise", lambda df, name: written.append((name, x := runtime.materialise(df, name))) or x)
+    got = {x.vec_id: (x.class_id, x.links) for x in S.similar_classes(table(spark, v).repartition(3), threshold, metric).collect()}
+    assert got == {i: (label[i], near[i].sum()) for i in range(n)}
+    rows = dict(written)["similar"]
+    assert rows.where("b is not null").count() < near.sum() / 8 and rows.count() < near.sum() / 4
+
+
+def test_work_of_a_tile_by_small_parts():
+    r = np.random.default_rng(13)
+    v = np.concatenate([r.integers(1, 4, (60, 1)), r.normal(size=(60, 3))], axis=1)
+    near = np.triu(blocks.scores(v[:, 1:], v[:, 1:], "cosine") >= 0.9, 1)
+    near |= near.T
+    a, b, links = S._links_of_tile(0.9, "cosine", 8, 16)(np.arange(60), v, np.arange(60), v, True)
+    of_row = np.array([x is None for x in b.to_pylist()])
+    want = near @ v[:, 0]
+    assert dict(zip(a[of_row].tolist(), links[of_row].tolist())) == {i: x for i, x in enumerate(want.astype(int).tolist()) if x}
