@@ -28,7 +28,7 @@ def cohesion(members: DataFrame, metric: str = "cosine", vector: str = "embeddin
     """(cluster_id, size, cohesion): mean score over the pairs of a cluster; 1 for a single member.
 
     For cosine and dot the sum over the pairs follows from the sum of the (unit) vectors, in one pass;
-    the other metrics compare the pairs of blocks.
+    the other metrics compare the pairs of a cluster by tiles, each of which gives one sum a cluster.
     """
     check_metric(metric)
     sizes = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
@@ -39,17 +39,53 @@ def cohesion(members: DataFrame, metric: str = "cosine", vector: str = "embeddin
         by_pos = rows.groupBy("cluster_id", "pos").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
         pairs = by_pos.groupBy("cluster_id").agg((F.sum(F.col("s") * F.col("s") - F.col("q")) / 2).alias("total"))
     else:
-        pairs = _pair_sums(members, metric, vector, key, False).where("a_cluster = b_cluster").groupBy(F.col("a_cluster").alias("cluster_id")).agg((F.sum("total") / 2).alias("total"))
+        pairs = _own_sums(members, metric, vector, key)
     n = F.col("size")
     return sizes.join(pairs, "cluster_id", "left").select("cluster_id", "size", F.when(n <= 1, 1.0).otherwise(F.try_divide("total", n * (n - 1) / 2)).alias("cohesion"))
 
 
-def _pair_sums(members: DataFrame, metric: str, vector: str, key: str, distances: bool) -> DataFrame:
-    """(id, a_cluster, b_cluster, total): for each row the sum of its scores or distances to the other rows of each cluster."""
+def _numbered(members: DataFrame, vector: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(cluster_id, number) of the clusters and the rows (id, v), whose vectors begin with their cluster's number."""
     number = F.dense_rank().over(Window.orderBy("cluster_id")) - 1
     names = members.select("cluster_id").distinct().withColumn("number", number)
     rows = members.join(broadcast_if_small(names, names.count(), 64), "cluster_id").select(F.col(key).alias("id"), F.col("number").cast("double").alias("c"), F.col(vector).cast("array<double>").alias("v"))
-    tagged = rows.select("id", F.concat(F.array("c"), "v").alias("v"))
+    return names, rows.select("id", F.concat(F.array("c"), "v").alias("v"))
+
+
+def _own_sums(members: DataFrame, metric: str, vector: str, key: str, rows: int = 512, columns: int = 1024) -> DataFrame:
+    """(cluster_id, total): the sum of the scores of each cluster's pairs of rows; only pairs within clusters are compared."""
+    names, tagged = _numbered(members, vector, key)
+
+    def of_cluster(ids, v, other, w, same):
+        total = 0.0
+        repeated = not same and len(np.intersect1d(ids, other)) or same and len(np.unique(ids)) < len(ids)
+        for i in range(0, len(v), rows):
+            for j in range(i // columns * columns if same else 0, len(w), columns):
+                s = blocks.scores(v[i : i + rows], w[j : j + columns], metric)
+                if same and j < i + rows:
+                    s[np.arange(i, i + len(s))[:, None] >= np.arange(j, j + s.shape[1])[None]] = 0
+                if repeated:
+                    s[ids[i : i + rows, None] == other[None, j : j + columns]] = 0
+                total += s.sum()
+        return total
+
+    def work(ids, v, other, w, same):
+        sides = []
+        for x, m in ((ids, v), (other, w)):
+            c = m[:, 0].astype(np.int64)
+            order = np.argsort(c, kind="stable")
+            present, first = np.unique(c[order], return_index=True)
+            sides.append({k: (x[own], m[own, 1:]) for k, own in zip(present.tolist(), np.split(order, first[1:]))})
+        both = [k for k in sides[0] if k in sides[1]]
+        return np.array(both, np.int64), np.array([of_cluster(*sides[0][k], *sides[1][k], same) for k in both], float)
+
+    sums = blocks.per_tile(blocks.packed(tagged, "id", "v"), work, "number bigint, part double", ["number", "part"]).groupBy("number").agg(F.sum("part").alias("total"))
+    return sums.join(broadcast_if_small(names, names.count(), 64).select("cluster_id", F.col("number").cast("bigint").alias("number")), "number").select("cluster_id", "total")
+
+
+def _pair_sums(members: DataFrame, metric: str, vector: str, key: str, distances: bool) -> DataFrame:
+    """(id, a_cluster, b_cluster, total): for each row the sum of its scores or distances to the other rows of each cluster."""
+    names, tagged = _numbered(members, vector, key)
 
     def sums(ids, ca, cb, s):
         order = np.argsort(cb, kind="stable")

@@ -177,3 +177,15 @@ def test_work_of_a_tile_by_small_parts():
     of_row = np.array([x is None for x in b.to_pylist()])
     want = near @ v[:, 0]
     assert dict(zip(a[of_row].tolist(), links[of_row].tolist())) == {i: x for i, x in enumerate(want.astype(int).tolist()) if x}
+
+
+def test_cohesion_compares_within_clusters_alone(spark, small, monkeypatch):
+    r = np.random.default_rng(14)
+    v, c = r.normal(size=(70, 4)).astype(np.float32), r.integers(0, 5, 70)
+    members = spark.createDataFrame([(i, x.tolist(), int(k)) for i, (x, k) in enumerate(zip(v, c))], "vec_id long, embedding array<float>, cluster_id int")
+    monkeypatch.setattr(K, "_pair_sums", None)
+    s = 1 / (1 + np.sqrt(((v[:, None].astype(float) - v[None]) ** 2).sum(2)))
+    for rows, columns in ((512, 1024), (4, 8)):
+        monkeypatch.setattr(K._own_sums, "__defaults__", (rows, columns))
+        got = {x.cluster_id: (x.size, x.cohesion) for x in K.cohesion(members.unionByName(members.limit(0)), "euclidean").collect()}
+        assert got == {k: ((c == k).sum(), pytest.approx(s[c == k][:, c == k][np.triu_indices((c == k).sum(), 1)].mean())) for k in range(5)}
