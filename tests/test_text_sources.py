@@ -370,6 +370,39 @@ def test_equal_tokens_are_hashed_once(monkeypatch):
     assert len(asked) == len(set(asked)) + sum(x in ("one", "two") for x in set(asked))  # as a word and as a trigram
 
 
+def test_equal_tokens_are_looked_up_once(monkeypatch):
+    """The tables are asked for each different word and trigram, not for each of their occurrences."""
+    words, trigrams = [], []
+
+    class Noted(dict):
+        def get(self, word, default=None):
+            words.append(word)
+            return super().get(word, default)
+
+    real = P._trigram_hashes
+    monkeypatch.setattr(P, "_words", Noted())
+    monkeypatch.setattr(P, "_trigram_hashes", lambda codes: trigrams.append(len(codes)) or real(codes))
+    P.HashProvider(8).embed(["one two two"] * 50)
+    assert sorted(words) == ["one", "two"] and trigrams == [len({"one two two"[i : i + 3] for i in range(9)})]
+
+
+@pytest.mark.parametrize("letters", [0, 6, 128])
+def test_hashed_sums_of_numbered_trigrams_and_runs_of_words(monkeypatch, letters):
+    """With few letters and with many, over runs of words and both generations of known ones, texts shorter than a trigram between others."""
+    import hashlib
+
+    texts = ["", "a", "ab", "abc", "", "b", "the cat the dog the cat", "cab " * 9, "漢字漢字 é \U0001f600 \ud800", "x" * 40, "ab", "z", ""]
+    want = np.zeros((len(texts), 5))
+    for row, t in zip(want, texts):
+        for token in [*t.split(), *(t[i : i + 3] for i in range(len(t) - 2))]:
+            h = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            row[h % 5] += 1.0 if h >> 63 else -1.0
+    for name, value in (("LETTERS", letters), ("RUN", 4), ("MOST_WORDS", 2), ("_known", []), ("_words", {}), ("_older", {})):
+        monkeypatch.setattr(P, name, value)
+    assert (P._token_sums(texts, 5) == want).all() and (P._token_sums(texts[::-1], 5) == want[::-1]).all()
+    assert all((P._token_sums([t], 5) == row).all() for t, row in zip(texts, want)) and len(P._words) <= 2 and len(P._older) <= 2
+
+
 def test_store_embeds_a_text_once(spark, tmp_path):
     from lodevec.operators.index import EmbeddingStore
 
