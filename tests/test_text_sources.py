@@ -403,6 +403,34 @@ def test_hashed_sums_of_numbered_trigrams_and_runs_of_words(monkeypatch, letters
     assert all((P._token_sums([t], 5) == row).all() for t, row in zip(texts, want)) and len(P._words) <= 2 and len(P._older) <= 2
 
 
+def test_known_short_words_are_found_by_their_bytes(monkeypatch):
+    """Words of up to 15 bytes that are known aren't made strings and looked up by name again."""
+    asked, real = [], P._word_hashes
+    monkeypatch.setattr(P, "_known", [])
+    monkeypatch.setattr(P, "_words", {})
+    monkeypatch.setattr(P, "_word_hashes", lambda words: asked.extend(words) or real(words))
+    texts = ["One two two", "fifteen-letters sixteen--letters", "élan\u2003two", "", "one"] * 20
+    first = P.HashProvider(8).embed(texts).embeddings
+    assert {"one", "two", "fifteen-letters", "sixteen--letters", "élan"} == set(asked)
+    asked.clear()
+    assert P.HashProvider(8).embed(texts).embeddings == first and asked == ["sixteen--letters"] * 20
+
+
+@pytest.mark.parametrize("piece, slots", [(1 << 18, 1 << 20), (7, 1 << 20), (40, 2)])
+def test_words_are_those_of_split(monkeypatch, piece, slots):
+    """Every kind of space, zero bytes, words of any number of bytes that begin alike, slots that are shared and long texts."""
+    for name, value in (("PIECE", piece), ("WORD_SLOTS", slots), ("RUN", 4), ("_known", []), ("_words", {}), ("_older", {})):
+        monkeypatch.setattr(P, name, value)
+    spaces = [chr(i) for i in range(0x110000) if chr(i).isspace()]
+    alike = [c * n for c in ("a", "é", "漢", "a\0") for n in range(1, 20)] + ["a\0", "a", "\0", "\0\0", "x" * 300, "\ud800\udc00", "’tis", "\u180eb"]
+    texts = ["", " ", " ".join(alike), *(s.join(["a", "bc", "", "d"]) for s in spaces), "".join(s + w for s, w in zip(spaces * 9, alike)), "\u3000a\u3000", "b" * 90]
+    for _ in range(2):
+        counts, hashes = P._words_of(texts)
+        assert counts.tolist() == [len(t.split()) for t in texts] and hashes.tolist() == [P._token_hash(w) for t in texts for w in t.split()]
+        assert [w for t in texts for part in P._parted(t) for w in part.split()] == [w for t in texts for w in t.split()] and all("".join(P._parted(t)) == t for t in texts)
+    assert max(len(part) for part in P._parted("ab " * 90)) <= piece + 3
+
+
 def test_store_embeds_a_text_once(spark, tmp_path):
     from lodevec.operators.index import EmbeddingStore
 
